@@ -99,3 +99,28 @@ kept AS (SELECT conv_id, len(l)::BIGINT AS n_turns FROM alike WHERE NOT EXISTS (
 SELECT conv_id, turn, n_turns, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS rendered
 FROM conversations JOIN kept USING (conv_id)
 """
+
+
+@query
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_words", "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op9_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+first AS (SELECT h, min(doc_id) AS lo FROM v GROUP BY h),
+hit AS (SELECT doc_id, i FROM v JOIN first USING (h) WHERE doc_id > lo),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM hit, range(50) AS r(k) GROUP BY doc_id),
+kept AS (SELECT w.doc_id, ws, coalesce(len(g), 0) AS n, CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i)) END AS k FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(ws)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
