@@ -124,3 +124,18 @@ gone AS (SELECT doc_id, list(DISTINCT i + k) AS g FROM hit, range(50) AS r(k) GR
 kept AS (SELECT w.doc_id, ws, coalesce(len(g), 0) AS n, CASE WHEN g IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(g, i)) END AS k FROM w LEFT JOIN gone USING (doc_id))
 SELECT doc_id, len(ws)::BIGINT AS n_words, n::BIGINT AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
 """
+
+
+@query
+def op3_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(table(spark, sf_dir, "pages"))
