@@ -139,3 +139,10 @@ def op5_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
