@@ -36,12 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage is cut, and lost executors lose nothing."""
+def materialise(df: DataFrame, name: str, tracked: bool = True) -> DataFrame:
+    """Writes df to the shared folder and reads it back: its lineage is cut, and lost executors lose nothing.
+
+    release() deletes it if it is tracked.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spillway-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
+    if tracked:
+        _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
