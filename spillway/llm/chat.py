@@ -67,7 +67,8 @@ def render_turns(conversations: DataFrame, kept: DataFrame, start: str = "<|im_s
     kept = kept.select(F.col("conv_id").alias("kept_id"), "n_turns")
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
     rendered = F.concat(F.lit(start), role, F.lit("\n"), text, F.lit(end + "\n"))
-    return conversations.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", F.col("turn").cast("bigint").alias("turn"), "n_turns", rendered.alias("rendered"))
+    turns = conversations.select("conv_id", F.col("turn").cast("bigint").alias("turn"), rendered.alias("rendered"))
+    return turns.join(kept, F.col("conv_id").eqNullSafe(F.col("kept_id"))).select("conv_id", "turn", "n_turns", "rendered")
 
 
 def render(turns: DataFrame) -> DataFrame:

@@ -107,12 +107,12 @@ def apply_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS,
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     carried = [c for c in docs.columns if c not in {*names, "n_removed_words", "base_failed", "kept", "clean_text"} and (with_text or c != "text")]
     stats = stats.select(*carried, "_spillway_key", *[F.col(f"{_STATS}.{n}").alias(n) for n in names])
-    lost = removed_lines(docs, host, min_docs, max_share)
-    out = stats.join(lost, F.col("_spillway_key").eqNullSafe(F.col("key")), "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("bigint")))
+    lost = removed_lines(docs, host, min_docs, max_share).select(F.col("key").alias("_spillway_lost"), F.col("numbers").alias("_spillway_numbers"), "n_removed_words")
+    out = stats.join(lost, F.col("_spillway_key").eqNullSafe(F.col("_spillway_lost")), "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("bigint")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_removed_words") <= max_lost * F.col("n_words")))
     if with_text:
-        gone = F.col("numbers")
+        gone = F.col("_spillway_numbers")
         clean = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
         out = out.withColumn("clean_text", clean)
-    return out.drop("_spillway_key", "key", "numbers")
+    return out.drop("_spillway_key", "_spillway_lost", "_spillway_numbers")
