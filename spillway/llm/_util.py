@@ -58,6 +58,18 @@ def release() -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows that Spark hands to Python at once: texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, where Spark's default for rows in a batch is lowered: ten thousand texts can take hundreds of megabytes."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_of(name: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -26,10 +26,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ragged, text_of
+from ._util import ragged, small_batches, text_of
 
 #: Positions of a block, about.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 _SPACE = r"\t-\r \u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 
@@ -112,7 +112,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, block: int = BLOCK) -
             made["core"] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=found, special_tokens={})._core_bpe
         return made["core"].encode_single_piece
 
-    pieces = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(text_of(), F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"))
+    pieces = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.regexp_extract_all(text_of(), F.lit(java_pattern(pattern)), F.lit(0)).alias("pieces"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

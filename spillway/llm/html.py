@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialise
+from ._util import materialise, small_batches
 
 #: A subtree on more distinct pages of a host than this, and than this share of them, is template.
 MIN_PAGES, MAX_SHARE = 4, 0.2
@@ -220,7 +220,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, max_share: floa
                     identities.append(identity)
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(identities, pa.int64())], ["host", "digest", "identity"])
 
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, digest bigint, identity bigint")
+    rows = small_batches(pages).select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(run, "host string, digest bigint, identity bigint")
     counts = rows.distinct().groupBy("host", "digest").agg(F.count("*").alias("n")).where((F.col("n") > min_pages))
     # A host with a subtree on more than min_pages pages has as many pages, so its own row is here.
     whole = counts.where(F.col("digest") == 0).select(F.col("host").alias("w_host"), F.col("n").alias("all_pages"))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import ragged, slices, text_of
+from ._util import ragged, slices, small_batches, text_of
 
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 #: Tokens that are packed together.
@@ -216,4 +216,4 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048, end_
             yield flush(kept, base, used)[0]
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._util import materialise, mix, ragged, run_hashes, signed, slices, text_of, word_hashes
+from ._util import materialise, mix, ragged, run_hashes, signed, slices, small_batches, text_of, word_hashes
 
 WINDOW, GRAM = 50, 8
 _TEXT = 2 << 20
@@ -59,7 +59,7 @@ def factors(hits: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndar
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with n_words, n_removed, kept_words (by single spaces) and kept_text (as it stood, without the factors)."""
     columns = [c for c in docs.columns if c not in {"n_words", "n_removed", "kept_words", "kept_text"}]
-    docs = docs.select(*columns)
+    docs = small_batches(docs).select(*columns)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).withColumn("class", F.xxhash64("text"))
     numbered = rows.where(F.col("doc_id").isNotNull())
     first_ids = numbered.groupBy("class").agg(F.min("doc_id").alias("first_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import text_of
+from ._util import small_batches, text_of
 
 #: Rows of a class that are learned from, at most.
 TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
@@ -183,6 +183,6 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFr
                 p = np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    scored = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, score double")
+    scored = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id bigint, score double")
     held_out = F.coalesce(bucket(F.col("doc_id")) == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
