@@ -21,8 +21,10 @@ def test_awkward_documents(spark):
     assert joined(spark, rows) == components(rows)
 
 
-def test_chains_clusters_and_thresholds(spark):
+@pytest.mark.parametrize("large", [16, 1])
+def test_chains_clusters_and_thresholds(spark, large, monkeypatch):
     """Near copies at all distances, chained ones, and boilerplate in most documents."""
+    monkeypatch.setattr(ngram_join, "LARGE", large)
     r = random.Random(3)
     rows, boiler = [], prose(77, 40)
     for g in range(6):
@@ -37,6 +39,25 @@ def test_chains_clusters_and_thresholds(spark):
     assert joined(spark, rows) == components(rows)
 
 
+def test_hamming_pairs_are_those_of_all_pairs():
+    r = np.random.default_rng(2)
+    base = np.unique(r.integers(0, 2**63, 400).astype(np.uint64))
+    sets = []
+    for n in r.integers(20, 400, 60):
+        own = r.integers(0, 2**63, max(1, int(n) // 9)).astype(np.uint64)
+        sets.append(np.unique(np.concatenate((base[: int(n)], own))))
+    sets.sort(key=len)
+    value = np.zeros(60, dtype=np.int64)
+    sizes, groups = np.array([len(x) for x in sets]), r.integers(0, 5, 60)
+    sketches = [ngram_join.dense_sketch(x) for x in sets]
+    i, j = ngram_join.within_hamming(value, sizes, groups, sketches, False)
+    want = {(a, b) for a in range(60) for b in range(60) if a < b and groups[a] != groups[b] and 4 * min(sizes[a], sizes[b]) >= 3 * max(sizes[a], sizes[b]) and 7 * ngram_join.hamming(sketches[a], sketches[b]) <= sizes[a] + sizes[b]}
+    got = [(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    i, j = ngram_join.within_hamming(value, sizes, groups, sketches, True)
+    assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist(), strict=True)} <= want and len(i) >= len({a for p in want for a in p}) // 2
+
+
 def test_no_documents(spark):
     assert ngram_join.similar_components(frame(spark, [])).collect() == []
     assert substring.remove_repeats(frame(spark, [])).collect() == []
