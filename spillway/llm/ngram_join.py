@@ -53,6 +53,8 @@ BROADCAST_ROWS = 200_000
 _TEXT = 1 << 20
 #: Classes that share a value, up to which all pairs of different components are compared one by one.
 LARGE = 16
+#: Rounds in which classes of large groups propose their nearest class; they decide the order of work alone.
+PROPOSALS = 2
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -387,9 +389,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     found = components(links)
     # Proposals only join what belongs together before all pairs are looked at, so some of the values serve.
     some = F.pmod(F.xxhash64("value"), F.lit(8)) == 0
-    nearer = similar(proposed(labels(found)[1].where(some), True, True).distinct())
-    links = links.union(nearer)
-    found = components(links)
+    for _ in range(PROPOSALS):
+        nearer = similar(proposed(labels(found)[1].where(some), True, True).distinct())
+        links = links.union(nearer)
+        found = components(links)
     small, large = labels(found)
     more = similar(proposed(small, False, False).union(proposed(large, True, False)).distinct())
     found = components(links.union(more))
