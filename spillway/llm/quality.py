@@ -1,15 +1,15 @@
 """Quality rules: repetition within a text, and lines that recur across the documents of a host, in DataFrame functions alone.
 
 Lines are normalised (lower case, digits as 0, white space as single spaces), hashed, and counted over the distinct
-documents of their host. Copies of a document are no distinct documents: an occurrence counts once for each pair of
-neighbouring lines it stands between, so what many copies of one text share is not taken for boilerplate. Lines in more
-documents of a host than `min_docs` and than `max_share` of its documents are removed; a document that loses more than
-`max_lost` of its words is rejected.
+documents of their host. Exact copies of a text are one document, by a hash of the whole text, and a document counts once
+for a line, however often and between whichever lines it has it. Lines in more documents of a host than `min_docs` and
+than `max_share` of its documents (all its rows) are removed; a document that loses more than `max_lost` of its words is
+rejected.
 
-Only hashes are shuffled, never texts (but where cleaned texts are asked for, and lines were removed). Counts combine
-before the shuffle, so a line in every document costs one row per task; the join of line positions with the lines to
-remove is an equi-join that Spark can split where a key is hot. Hosts are joined by name with their limits, which are
-as few as the hosts.
+Only hashes are shuffled, never texts (but where cleaned texts are asked for, and lines were removed). Copies combine
+before the shuffle, each with the hashes of its lines in one row, and so do the counts, so a line in every document costs
+one row per task; the join of line positions with the lines to remove is an equi-join that Spark can split where a key is
+hot. Hosts are joined by name with their limits, which are as few as the hosts.
 
 Defined cases: null text is empty; a null host is a host of its own; documents with the same doc_id, host and text get
 the same verdict; the null doc_id is an id like others; extra columns are kept; empty in, empty out.
@@ -86,11 +86,10 @@ def removed_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOC
     """For each document that loses lines (key): their numbers, from 0, and how many words they have."""
     keyed = _keyed(docs, host)
     hashed = keyed.select("key", "host", F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("h"), F.when(x != "", F.size(F.split(x, " "))).otherwise(0).alias("w"))).alias("lines"))
-    neighbours = lambda a, i: F.xxhash64(F.when(i > 0, F.get(a, i - 1)["h"]), F.get(a, i + 1)["h"])
-    lines = hashed.select("key", "host", let(F.col("lines"), lambda a: F.filter(F.transform(a, lambda x, i: F.struct(i.alias("i"), x["h"].alias("h"), x["w"].alias("w"), neighbours(a, i).alias("c"))), lambda x: x["h"].isNotNull())).alias("lines"))
-    # Per document, a line counts once.
-    once = lines.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["c"].alias("c"))))).alias("x"))
-    counts = once.select("host", "x.h", "x.c").distinct().groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
+    lines = hashed.select("key", "host", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x["h"].alias("h"), x["w"].alias("w"))), lambda x: x["h"].isNotNull()).alias("lines"))
+    # Per distinct text of a host, a line counts once.
+    texts = lines.select("host", F.col("key.t").alias("t"), F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("hs")).where(F.size("hs") > 0).dropDuplicates(["host", "t"])
+    counts = texts.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
     limits = keyed.groupBy("host").agg((F.count("*") * F.lit(max_share)).alias("most"))
     above = counts.join(limits, counts["host"].eqNullSafe(limits["host"])).where(F.col("n") > F.col("most")).select(counts["host"].alias("above_host"), F.col("h").alias("above_h"))
     # A line's count is at least min_docs, so a document has few such lines: only they go on from the join.

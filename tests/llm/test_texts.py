@@ -48,6 +48,19 @@ def test_lines_of_a_host_are_removed_and_depleted_documents_rejected(spark):
     assert quality.apply_rules(frame(spark, [])).collect() == []
 
 
+def test_a_line_counts_once_for_each_distinct_document_that_has_it(spark):
+    footer = ["all rights of this site reserved", "read more stories of this site", "follow this site for more news"]
+    rows = [(k, f"{prose(k, 30)}\n\n{footer[0]}\n\n{prose(k + 500, 30)}", "en", "a", 0) for k in range(30)]  # between blank lines
+    rows += [(100 + k, "\n".join([prose(1000 + k, 30), *footer]), "en", "b", 0) for k in range(30)]  # between its like
+    rows += [(200 + k, "\n".join([prose(2000, 5), *footer]), "en", "c", 0) for k in range(60)]  # copies are one document
+    rows += [(300 + k, "\n\n".join([prose(3000 + k, 8), *footer]), "en", "d", 0) for k in range(25)]
+    out = {r["doc_id"]: r for r in quality.apply_rules(frame(spark, rows)).collect()}
+    assert all(out[k]["kept"] and out[k]["n_removed_words"] == 6 and footer[0] not in out[k]["clean_text"] for k in range(30))
+    assert all(out[100 + k]["kept"] and out[100 + k]["n_removed_words"] == 18 and out[100 + k]["clean_text"] == prose(1000 + k, 30) for k in range(30))
+    assert all(out[200 + k]["kept"] and out[200 + k]["n_removed_words"] == 0 for k in range(60))
+    assert all(not out[300 + k]["kept"] and not out[300 + k]["base_failed"] for k in range(25))
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
