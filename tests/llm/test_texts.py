@@ -61,6 +61,14 @@ def test_a_line_counts_once_for_each_distinct_document_that_has_it(spark):
     assert all(not out[300 + k]["kept"] and not out[300 + k]["base_failed"] for k in range(25))
 
 
+def test_a_document_adds_at_most_one_to_the_count_of_a_line(spark):
+    line = "the same sentence of a refrain again"
+    rows = [(k, "\n".join(f"{prose(5000 + 40 * k + j, 6)}\n{line}" for j in range(30)), "en", "a", 0) for k in range(5)]
+    rows += [(100 + k, prose(k, 30), "en", "a", 0) for k in range(40)]
+    out = quality.apply_rules(frame(spark, rows)).collect()
+    assert all(r["n_removed_words"] == 0 and r["clean_text"] == r["text"] for r in out)
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
