@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm._util import materialise, release, table
-from spillway.llm.ngram_join import similar_components
+from spillway.llm._util import materialise, release, table, text_of
+from spillway.llm.ngram_join import grouped_rows
 from spillway.llm.packing import pack
 from spillway.llm.pii import mask
 from spillway.llm.quality import apply_rules
@@ -35,14 +35,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents, and of each repeated row, one stays: the one of smallest doc_id."""
+    """Of each group of similar documents, and of each repeated row, one stays: the one of smallest doc_id, null being
+    greatest, and of rows that share it the one of smallest text hash. Rows are told apart by doc_id and text hash."""
     release()
-    found = materialise(similar_components(docs), "components")
-    # A component whose rows all lack an id has no id either: its rows stay.
-    gone = found.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone_id")).distinct()
+    found = materialise(grouped_rows(docs), "components")
+    row = ["doc_id", "text_hash"]
+    linked = found.where(F.col("component").isNotNull())
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Different texts can share the smallest doc_id, or its lack.
+    ties = linked.where(first).groupBy("component").agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).where(F.col("lo") != F.col("hi"))
+    behind = linked.where(first).join(ties, "component").where(F.col("text_hash") != F.col("lo"))
+    gone = linked.where(~first).select(*row).union(behind.select(*row)).distinct().toDF("gone_id", "gone_hash")
     few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")), "left_anti")
-    repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of()) == F.col("gone_hash"))
+    kept = docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
+    repeated = found.groupBy(*row).count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 

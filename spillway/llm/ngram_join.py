@@ -180,6 +180,11 @@ def _batches(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
 
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
+    return grouped_rows(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def grouped_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and component (a number, null for empty sets) of each row of docs."""
     docs = small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
     docs = docs.withColumn("text_hash", F.xxhash64("text"))
 
@@ -401,6 +406,6 @@ def similar_components(docs: DataFrame) -> DataFrame:
     grouped = classes.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "least_doc", F.coalesce("component", "set_id").alias("c2"))
     grouped = materialise(grouped, "grouped")
     lowest = grouped.groupBy("c2").agg(F.min("least_doc").alias("component_id"))
-    by_class = grouped.join(lowest, "c2").select("set_id", "component_id")
+    by_class = grouped.join(lowest, "c2").select("set_id", "component_id", F.col("c2").alias("component"))
     out = members.join(by_class, "set_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component")

@@ -80,6 +80,22 @@ def test_shingles_are_those_of_the_text():
     assert ngram_join.shingle_sets(pa.array(texts))[1].tolist() == [len(shingles(t)) for t in texts]
 
 
+def test_one_row_of_each_group_stays_where_ids_are_null_or_repeated(spark):
+    import corpus_pipeline
+
+    def near(seed):
+        return prose(seed, 200) + " more"
+
+    rows = [(1, prose(1, 200)), (None, near(1)), (None, prose(2, 200))]  # the null one that is linked goes, the other stays
+    rows += [(7, prose(3, 200)), (7, near(1)), (8, prose(4, 200)), (8, near(4))]  # one id, texts of two groups, and of one
+    rows += [(None, prose(5, 200)), (None, near(5)), (None, near(5))]  # no id in the group
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in rows])
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert all(got[x] == 1 for x in [(1, prose(1, 200)), (None, prose(2, 200)), (7, prose(3, 200))])
+    assert got[(8, prose(4, 200))] + got[(8, near(4))] == 1 and got[(None, prose(5, 200))] + got[(None, near(5))] == 1
+    assert sum(got.values()) == 5
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 100)], "u bigint, v bigint")
     assert {(r["node"], r["component"]) for r in connected(edges).collect()} == {(k, 1) for k in range(1, 41)} | {(100, 100), (101, 100)}
