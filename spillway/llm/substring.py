@@ -1,9 +1,9 @@
-"""Substring removal by relative Lempel-Ziv factors.
+"""Substring removal by a join of hashed windows.
 
-Every document is factored against all documents with smaller ids. A factor starts where a seed of WINDOW words is in
-the index of reference blocks and grows, word by word, as long as the next seed is there too; what lies between factors
-is literal. Because every seed at a factor's end is looked up as well, one that crosses the boundary of two factors is
-not lost. Words in factors are removed.
+Every window of WINDOW words that a document of smaller id has too is a hit, and the words in hits are removed; hits that
+touch or overlap are merged to one stretch, here called a factor, whichever documents they came from. Relative Lempel-Ziv
+parsing would match greedily against reference blocks; no longest match, reference position or literal is formed here.
+As every window is looked up by itself, none is lost at the end of a match.
 
 The index is spread over the cluster. A document's blocks are cut by content: among the word 8-grams of a window the one
 of smallest hash is its anchor, so two equal windows have equal anchors, about one for 20 words.
@@ -11,7 +11,7 @@ of smallest hash is its anchor, so two equal windows have equal anchors, about o
 1. Equal texts are one class; its smallest doc_id represents it. All other rows of it are one factor.
 2. Anchors of different classes are matched; only blocks whose anchor occurs in two classes or more go on.
 3. Seeds of those blocks, as 64-bit hashes, are indexed with the smallest doc_id that has them, and looked up.
-4. Each document is factored with its hits.
+4. The words of each document that its hits cover are removed.
 
 Defined cases: null texts have no words; texts of under 50 words are kept whole; rows with null doc_id are kept whole and
 are no references; rows with equal doc_id are no references of each other; extra columns are kept; empty in, empty out.
