@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -24,35 +26,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder serves a
+    local session, whose executors are the driver itself; any other session is refused."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spillway-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Folders that this driver wrote and has not released.
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Where the tables that are written just now are noted, if anyone wants to delete them.
+_NOTED: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("noted", default=None)
 
 
-def materialise(df: DataFrame, name: str, tracked: bool = True) -> DataFrame:
+@contextmanager
+def noted() -> Iterator[list[tuple[SparkSession, str]]]:
+    """Lists the tables that materialise() writes inside the block, for delete(). No other call's tables are in it."""
+    tables: list[tuple[SparkSession, str]] = []
+    token = _NOTED.set(tables)
+    try:
+        yield tables
+    finally:
+        _NOTED.reset(token)
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: its lineage is cut, and lost executors lose nothing.
 
-    release() deletes it if it is tracked.
+    The table stays, as lazy results may read it, unless a caller that noted() it deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spillway-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    if tracked:
-        _WRITTEN.append((spark, path))
+    tables = _NOTED.get()
+    if tables is not None:
+        tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release() -> None:
-    """Deletes what materialise() wrote. Only for callers whose results are already stored elsewhere."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+def delete(tables: list[tuple[SparkSession, str]]) -> None:
+    """Deletes tables that noted() lists. Only for callers whose results are already stored elsewhere."""
+    while tables:
+        spark, path = tables.pop()
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -2,12 +2,14 @@
 
 A sequence costs LINEAR per token plus QUADRATIC per squared token of each piece in it (attention is computed within a
 piece). Within a buffer of documents, pieces go in order of descending length to the sequence of lowest cost that still
-has room; what fits nowhere whole is cut to fill the room that is left, and the last, partial sequence is cut into
-sequences whose lengths are powers of two. So nothing is padded.
+has room; what fits nowhere whole is cut to fill the room that is left, and what is left over goes to the next buffer.
+After the last buffer it is cut into sequences whose lengths are powers of two. So nothing is padded, and a task has one
+such tail, of less than sequence_length tokens.
 
 Every task packs what it reads, buffer by buffer: no shuffle, memory bounded by the buffer, and a lost task is packed
-again alike. Defined cases: a null or empty text is the end-of-document id alone; repeated rows are packed as often as
-they occur; a null doc_id stays null; other columns are ignored; an empty table gives no pieces.
+again alike. Defined cases: a null or empty text is the end-of-document id alone; names of the tokenizer's own tokens in a
+text are ids of theirs only where the library takes them so (as they are spelt, in lower case); repeated rows are packed
+as often as they occur; a null doc_id stays null; other columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -40,8 +42,9 @@ class WordEncoder:
     """Ids of texts, of which each distinct word is encoded once.
 
     White space always separates pre-tokens and is dropped, so the ids of a text are those of its words one after the
-    other. Words of one or two pre-tokens are encoded many at a time and told apart by the tokens that end a
-    pre-token; others one at a time.
+    other. Words are compared in lower case, as the tokenizer does, but for those that hold the name of an added token
+    in any case: such names are cut out before a text is lowered, so these words stay as they are. Words of one or two
+    pre-tokens are encoded many at a time and told apart by the tokens that end a pre-token; others one at a time.
     """
 
     def __init__(self, tokenizer_json: str, end_id: int):
@@ -53,6 +56,9 @@ class WordEncoder:
             _TOKENIZERS[key] = Tokenizer.from_str(tokenizer_json)
         self.tokenizer, self.end_id = _TOKENIZERS[key], end_id
         vocabulary = self.tokenizer.get_vocab()
+        self.names = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        if any(len(n.split()) != 1 for n in self.names):
+            raise ValueError("an added token of the tokenizer holds white space")
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.reset()
@@ -97,8 +103,14 @@ class WordEncoder:
         """All ids, each text closed by the end id, and how many each text has."""
         if len(self.at) > MEMORY_WORDS:
             self.reset()
-        words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-        coded = words.flatten().dictionary_encode()
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        as_written = words.flatten()
+        lowered = pc.ascii_lower(as_written)
+        for name in self.names:
+            named = pc.match_substring(lowered, name)
+            if pc.any(named).as_py():
+                lowered = pc.if_else(named, as_written, lowered)
+        coded = lowered.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         new = [k for k, w in enumerate(distinct) if w not in self.at]
         if new:
@@ -117,8 +129,9 @@ class WordEncoder:
         return ids, np.diff(edges)
 
 
-def assign(lengths: np.ndarray, size: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (document, start, length, sequence, offset) for documents of these lengths."""
+def assign(lengths: np.ndarray, size: int, linear: float = LINEAR, quadratic: float = QUADRATIC) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]], int]:
+    """Pieces (document, start, length, sequence, offset) of full sequences for documents of these lengths; what is left
+    over (document, start, length), which is less than a sequence; and the number of sequences."""
     pieces: list[tuple[int, int, int, int, int]] = []
     rest: list[tuple[int, int, int]] = []
     sequence = 0
@@ -145,7 +158,7 @@ def assign(lengths: np.ndarray, size: int, linear: float = LINEAR, quadratic: fl
             put(d, start, n, at)
         else:
             whole.append((d, start, n))
-    tail: list[tuple[int, int, int]] = []
+    left: list[tuple[int, int, int]] = []
     by_cost = iter([int(k) for k in np.argsort(cost, kind="stable") if room[k]])
     at = next(by_cost, None)
     for d, start, n in whole:
@@ -156,20 +169,25 @@ def assign(lengths: np.ndarray, size: int, linear: float = LINEAR, quadratic: fl
             if not room[at]:
                 at = next(by_cost, None)
         if n:
-            tail.append((d, start, n))
-    sequence += count
-    left = sum(x[2] for x in tail)
+            left.append((d, start, n))
+    return pieces, left, sequence + count
+
+
+def tail(left: list[tuple[int, int, int]], sequence: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Pieces that fill sequences of powers of two, the longest first, and the number of sequences then."""
+    pieces: list[tuple[int, int, int, int, int]] = []
+    total = sum(x[2] for x in left)
     free, offset = 0, 0
-    for d, start, n in tail:
+    for d, start, n in left:
         while n:
             if not free:
-                free, offset = 1 << (left.bit_length() - 1), 0
-                left -= free
+                free, offset = 1 << (total.bit_length() - 1), 0
+                total -= free
                 sequence += 1
             part = min(n, free)
             pieces.append((d, start, part, sequence - 1, offset))
             start, n, free, offset = start + part, n - part, free - part, offset + part
-    return pieces
+    return pieces, sequence
 
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -184,36 +202,47 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 2048, end_
     with open(tokenizer_path, encoding="utf-8") as f:
         tokenizer_json = f.read()
 
-    def flush(kept: list, base: int, used: int) -> tuple[pa.RecordBatch, int]:
-        doc_ids, ids, lengths = (np.concatenate([x[k] for x in kept]) for k in range(3))
-        begins = np.cumsum(lengths) - lengths
-        pieces = np.array(assign(lengths, sequence_length), dtype=np.int64).reshape(-1, 5)
-        d, start, n, seq, offset = pieces.T
-        little = np.ascontiguousarray(ids, dtype="<u4")
-        lo = begins[d] + start
-        crc = np.array([zlib.crc32(little[a : a + m]) for a, m in zip(lo.tolist(), n.tolist(), strict=True)], dtype=np.int64)
-        columns = [pa.array(doc_ids[d], pa.int64(), from_pandas=True), *map(pa.array, (start, n, crc, lengths[d], base + used + seq, offset))]
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        if with_ids:
-            flat = little[ragged(lo, n)].astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)))
-            names.append("ids")
-        return pa.RecordBatch.from_arrays(columns, names), used + int(seq.max()) + 1
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_json, end_id)
-        base, used, kept, held = TaskContext.get().partitionId() << 32, 0, [], 0
+        # What a buffer holds of each document: its doc_id, ids, how many ids came before them, and how many it has in all.
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        base, used, held = TaskContext.get().partitionId() << 32, 0, 0
+
+        def flush(last: bool) -> pa.RecordBatch:
+            nonlocal kept, held, used
+            doc_ids, ids, lengths, before, totals = (np.concatenate([x[k] for x in kept]) for k in range(5))
+            begins = np.cumsum(lengths) - lengths
+            found, left, used = assign_from(lengths, used)
+            if last:
+                more, used = tail(left, used)
+                found, left = found + more, []
+            little = np.ascontiguousarray(ids, dtype="<u4")
+            d, start, n, seq, offset = np.array(found, dtype=np.int64).reshape(-1, 5).T
+            lo = begins[d] + start
+            crc = np.array([zlib.crc32(little[a : a + m]) for a, m in zip(lo.tolist(), n.tolist(), strict=True)], dtype=np.int64)
+            columns = [pa.array(doc_ids[d], pa.int64(), from_pandas=True), *map(pa.array, (before[d] + start, n, crc, totals[d], base + seq, offset))]
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            if with_ids:
+                flat = little[ragged(lo, n)].astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)))
+                names.append("ids")
+            d, start, n = np.array(left, dtype=np.int64).reshape(-1, 3).T
+            kept, held = [(doc_ids[d], little[ragged(begins[d] + start, n)], n, before[d] + start, totals[d])], int(n.sum())
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        def assign_from(lengths: np.ndarray, first: int) -> tuple[list, list, int]:
+            pieces, left, count = assign(lengths, sequence_length)
+            return [(d, start, n, first + seq, offset) for d, start, n, seq, offset in pieces], left, first + count
+
         for whole in batches:
             for batch in slices(whole, 1):
                 ids, lengths = encoder.encode(batch.column(1))
-                kept.append((np.array(batch.column(0).to_pylist(), dtype=object), ids, lengths))
+                kept.append((np.array(batch.column(0).to_pylist(), dtype=object), ids, lengths, np.zeros(len(lengths), np.int64), lengths))
                 held += len(ids)
-                if held >= buffer_tokens:
-                    out, used = flush(kept, base, used)
-                    kept, held = [], 0
-                    yield out
-        if kept:
-            yield flush(kept, base, used)[0]
+                if held >= max(buffer_tokens, sequence_length):
+                    yield flush(False)
+        if held:
+            yield flush(True)
 
     schema = SCHEMA + (", ids array<int>" if with_ids else "")
     return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(run, schema)

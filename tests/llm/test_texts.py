@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from helpers import SCHEMA, awkward, frame, prose, words
@@ -203,13 +205,38 @@ def test_packing_of_awkward_documents(spark, buffer):
 
 def test_costs_are_balanced():
     lengths = np.array([1500] * 20 + [200] * 50 + [40] * 27)
-    pieces = packing.assign(lengths, 2048)
+    pieces = packing.assign(lengths, 2048)[0]
     cost = Counter()
     for _, _, n, s, _ in pieces:
         cost[s] += n * n
     full = [c for s, c in cost.items() if sum(p[2] for p in pieces if p[3] == s) == 2048]
     assert len(full) == int(lengths.sum() // 2048) and max(full) <= 2.5 * sorted(full)[len(full) // 2]
-    assert packing.assign(np.array([5]), 2048) == [(0, 0, 4, 0, 0), (0, 4, 1, 1, 0)]
+    assert packing.assign(np.array([5]), 2048) == ([], [(0, 0, 5)], 0)
+    assert packing.tail([(0, 0, 5)], 0) == ([(0, 0, 4, 0, 0), (0, 4, 1, 1, 0)], 2)
+
+
+def test_names_of_the_tokenizers_own_tokens_are_text_unless_spelt_alike():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        encoder = packing.WordEncoder(f.read(), 1)
+    tokenizer = Tokenizer.from_file(path)
+    r = random.Random(4)
+    texts = ["<|ENDOFTEXT|> x", "a <|StartOfText|>b", "<|endoftext|><|ENDOFTEXT|> DON'T", "<|endof text|>"]
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|", "|>", "Word", "word's", "WORD.", " ", " ", "\n", "É", "12"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(1, 12))) for _ in range(300)]
+    ids, lengths = encoder.encode(pa.array(texts))
+    ends = np.cumsum(lengths)
+    assert [ids[e - n : e].tolist() for e, n in zip(ends, lengths, strict=True)] == [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
+def test_a_task_has_one_tail(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = frame(spark, [(k, prose(k, 50 + 37 * (k % 60)), "en", "s", 0) for k in range(150)]).coalesce(1)
+    out = packing.pack(docs, path, buffer_tokens=20000).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    short = [r["n"] for r in out if r["n"] < 2048]
+    assert len(out) > 30 and len(short) <= 11 and len(set(short)) == len(short)
 
 
 def test_pipeline_agrees_with_its_steps_in_plain_python(spark, tmp_path):
