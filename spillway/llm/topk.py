@@ -1,18 +1,23 @@
 """Exact top-k inner products over norm-sorted vectors.
 
-Vectors are integers: floor(scale * x) of each component. Candidates are sorted by descending length and dealt into
-blocks; every block of queries meets every block of candidates once, as one row of an equi-join on the pair of block
-numbers. A first bound for each query comes from the longest vectors of all (a fixed number). In a pair of blocks,
-candidates are taken in order of descending length: once |q| * |c| is under a query's bound, no later one can enter;
-before that, the first components after a rotation (the eigenvectors of the corpus' second moments, which are the right
-singular vectors of the whole matrix) give a partial sum, and Cauchy-Schwarz bounds what the others can add. Only pairs
-whose bound reaches the query's k-th score so far are multiplied out, in integers, so results are exact; bounds are
-widened by more than rounding can take, and equal scores are never pruned.
-
-Defined cases: null vectors, null or non-finite components and null ids take no part; shorter vectors count as filled up
-with zeros; rows with the query's own vec_id are no candidates of it; a repeated row is a candidate as often as it
-occurs, while a repeated query counts once (its smallest vector); ties go to the smaller vec_id; an empty table gives no
-rows. Components must keep every score inside 64 bits.
+Vectors are integers: floor(scale * x) of each component, held as doubles, which are exact for them. Candidates are sorted
+by descending length and dealt into blocks. A first bound for each query comes from the longest vectors of all (a fixed
+number); a candidate shorter than bound / |q| cannot reach it. Queries are dealt into blocks by that length, so a block of
+queries needs the candidate blocks down to one number only, and no others are joined: an equi-join on the number of the
+candidate block, in which a candidate block travels once. Rounds go from longer to shorter blocks, each over more blocks
+than the last, and what a round finds raises the bounds for the next.
+
+In a pair of blocks, candidates are taken in order of descending length: once |q| * |c| is under a query's bound, no later
+one can enter; before that, the first components after a rotation (the eigenvectors of the corpus' second moments, which
+are the right singular vectors of the whole matrix) give a partial sum, and Cauchy-Schwarz bounds what the others can add.
+Only pairs whose bound reaches the query's k-th score so far are multiplied out, exactly: in doubles where |q| * |c| is
+under 2**53, else in integers of 64 bits or of any size. Bounds are widened by more than rounding can take, and equal
+scores are never pruned.
+
+Defined cases: null vectors, null or non-finite components (also once scaled) and null ids take no part; shorter vectors
+count as filled up with zeros; rows with the query's own vec_id are no candidates of it; a repeated row is a candidate as
+often as it occurs, while a repeated query counts once (its smallest vector); ties go to the smaller vec_id; scores beyond
+64 bits count as the largest or smallest long, and tie; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,24 +30,33 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._util import materialise
+
 #: Vectors of a block of candidates, and of a block of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 4096
 #: The longest vectors, from which each query gets its first bound.
 LONGEST = 2048
 #: Candidates that share one look at the bounds.
 STEP = 512
+#: Candidate blocks of the first round, and how many times as many each further round ends at.
+FIRST_ROUND, GROWTH = 16, 8
+#: Classes of length in a doubling.
+CLASSES = 8
+_LONG = 2.0**63
 
 
 def integer_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
-    """vec_id and the integers of each vector that takes part."""
+    """vec_id and the integers (as doubles) of each vector that takes part."""
+    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * scale)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    v = F.col(vector_col).cast("array<double>")
-    usable = df.where(F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(F.exists(v, bad), F.lit(True)))
-    return usable.select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("bigint")).alias("q"))
+    usable = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), v.alias("q"))
+    usable = usable.where(F.col("q").isNotNull() & ~F.coalesce(F.exists("q", bad), F.lit(True)))
+    # From 2**53 on, doubles are whole.
+    return usable.select("vec_id", F.transform("q", lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)).alias("q"))
 
 
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
-    out = np.zeros((len(column), d), dtype=np.int64)
+    out = np.zeros((len(column), d))
     lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if len(flat):
@@ -50,13 +64,26 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
     return out
 
 
+def _lengths(m: np.ndarray) -> np.ndarray:
+    return np.sqrt((m * m).sum(axis=1))
+
+
+def _class(length: np.ndarray) -> np.ndarray:
+    """The class of a length: a step of an eighth of a doubling; below 1 all are one."""
+    return np.floor(CLASSES * np.log2(np.maximum(length, 1.0))).astype(np.int64)
+
+
 def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
-    """Eigenvectors of the sum of x xT over all vectors, largest first; summed by entry, d * d of them."""
+    """Eigenvectors of the sum of x xT over all vectors, largest first; summed by entry, d * d of them.
+
+    Any rotation gives right bounds, so vectors of extreme length, whose squares might overflow, count as of length 2**60.
+    """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, d))
         for b in batches:
-            x = _matrix(b.column(0), d).astype(float)
+            x = _matrix(b.column(0), d)
+            x *= np.minimum(1.0, 2.0**60 / np.maximum(_lengths(x), 1.0))[:, None]
             total += x.T @ x
         at = np.arange(d * d, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "v"])
@@ -68,103 +95,190 @@ def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy()
 
 
+def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q with those of c, as longs."""
+    most = float((_lengths(q) * _lengths(c)).max(initial=0.0))
+    if most < 2.0**53:  # no sum of products exceeds it, so every one is exact
+        return (q * c).sum(axis=1).astype(np.int64)
+    if most < 2.0**62 and max(np.abs(q).max(), np.abs(c).max()) < 2.0**62:
+        return (q.astype(np.int64) * c.astype(np.int64)).sum(axis=1)
+    whole = [sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for a, b in zip(q.tolist(), c.tolist(), strict=True)]
+    return np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in whole], dtype=np.int64)
+
+
 def _best(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each query, by score and then by id."""
-    order = np.lexsort((ids, -scores, qi))
+    order = np.lexsort((ids, ~scores, qi))
     qi, ids, scores = qi[order], ids[order], scores[order]
     first = np.searchsorted(qi, qi, "left")
     keep = np.arange(len(qi)) - first < k
     return qi[keep], ids[keep], scores[keep]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id and score of the k best candidates of each query; `vectors` as integer_vectors() gives them."""
-    spark = vectors.sparkSession
-    squared = F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x * x)
-    vectors = vectors.withColumn("n2", squared)
-    facts = vectors.agg(F.max(F.size("q")).alias("d"), F.count("*").alias("n"), F.count_distinct(F.when(is_query, F.col("vec_id"))).alias("m")).first()
-    out = "query_id bigint, vec_id bigint, score bigint"
-    if not facts["m"]:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    d = max(1, facts["d"])
-    n_candidates, n_queries = -(-facts["n"] // CANDIDATE_BLOCK), -(-facts["m"] // QUERY_BLOCK)
-    rotation = _rotation(vectors, d)
-    longest = vectors.orderBy(F.desc("n2"), "vec_id").limit(LONGEST).select("vec_id", "q").toArrow()
-    long_ids, long_vectors = longest["vec_id"].to_numpy(), _matrix(longest["q"].combine_chunks(), d)
+def search_blocks(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query_id, vec_id and score of what reaches the bounds of the queries, k for each at most; c is in order of length."""
+    d = q.shape[1]
     head = max(1, d // 4)
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs the rows of each block, longest first, into one row."""
-        held: dict[int, list] = {}
-
-        def packed(b: int, rows: list) -> pa.RecordBatch:
-            ids = np.concatenate([x[0] for x in rows])
-            m = np.concatenate([x[1] for x in rows])
-            order = np.lexsort((ids, -(m * m).sum(axis=1)))
-            return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([m[order].tobytes()], pa.binary())], ["block", "ids", "vectors"])
-
-        for batch in batches:
-            which = batch.column(0).to_numpy()
-            ids, m = batch.column(1).to_numpy(), _matrix(batch.column(2), d)
-            for b in np.unique(which):
-                rows = held.setdefault(int(b), [])
-                rows.append((ids[which == b], m[which == b]))
-                if sum(len(x[0]) for x in rows) >= 2 * CANDIDATE_BLOCK:
-                    yield packed(int(b), held.pop(int(b)))
-        for b, rows in held.items():
-            yield packed(b, rows)
-
-    packed = "block int, ids binary, vectors binary"
-    # Length decides only the order of work, not the result, so the dealing needs no exact ranks: ranges of (length, id).
-    dealt = vectors.repartitionByRange(n_candidates, F.desc("n2"), F.col("vec_id")).select(F.spark_partition_id().alias("block"), "vec_id", "q")
-    candidates = dealt.mapInArrow(blocks, packed)
-    first = vectors.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    block_of = F.pmod(F.xxhash64("vec_id"), F.lit(n_queries)).cast("int")
-    queries = first.select(block_of.alias("block"), "vec_id", "q").repartition(n_queries, "block").mapInArrow(blocks, packed)
-    left = queries.select(F.col("block").alias("qb"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("cb"))
-    right = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), F.col("block").alias("cb"), F.col("ids").alias("c_ids"), F.col("vectors").alias("c_vectors"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                q_ids, q, c_ids, c = (np.frombuffer(batch.column(i)[row].as_buffer(), dtype=np.int64) for i in range(4))
-                q, c = q.reshape(-1, d), c.reshape(-1, d)
-                yield _search(q_ids, q, c_ids, c)
-
-    def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-        lowest = np.iinfo(np.int64).min
-        bound = np.full(len(q), -np.inf)
-        for start in range(0, len(q), 512):
-            scores = q[start : start + 512] @ long_vectors.T
-            scores[q_ids[start : start + 512, None] == long_ids[None, :]] = lowest
-            if scores.shape[1] >= k:
-                kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] > k else scores.min(axis=1)
-                bound[start : start + 512] = np.where(kth == lowest, -np.inf, kth)
-        qr, cr = q @ rotation, c @ rotation
-        q_len, c_len = np.sqrt((qr * qr).sum(axis=1)), np.sqrt((cr * cr).sum(axis=1))
-        q_rest, c_rest = np.sqrt((qr[:, head:] ** 2).sum(axis=1)), np.sqrt((cr[:, head:] ** 2).sum(axis=1))
-        slack = 1e-6 * (1 + q_len)
-        bq, bi, bs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for start in range(0, len(c), STEP):
-            part = slice(start, start + STEP)
-            live = np.flatnonzero(q_len * c_len[start] + slack * (1 + c_len[start]) >= bound)
-            if not len(live):
+    bound = bound.copy()
+    qr, cr = q @ rotation, c @ rotation
+    q_len, c_len = _lengths(qr), _lengths(cr)
+    q_rest, c_rest = _lengths(qr[:, head:]), _lengths(cr[:, head:])
+    slack = 1e-6 * (1 + q_len)
+    bq, bi, bs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for start in range(0, len(c), STEP):
+        part = slice(start, start + STEP)
+        longest = c_len[part].max()
+        reach = np.maximum(q_len * longest + slack * (1 + longest), -_LONG)
+        live = np.flatnonzero(reach >= bound)
+        if not len(live):
+            if start and c_len[start:].max() <= longest:
                 break
-            upper = qr[live][:, :head] @ cr[part, :head].T + q_rest[live][:, None] * c_rest[part][None, :]
-            upper += slack[live][:, None] * (1 + c_len[start])
-            a, b = np.nonzero((upper >= bound[live][:, None]) & (q_ids[live][:, None] != c_ids[part][None, :]))
-            if not len(a):
-                continue
-            a, b = live[a], b + start
-            scores = np.empty(len(a), dtype=np.int64)
-            for s in range(0, len(a), 1 << 16):
-                scores[s : s + (1 << 16)] = (q[a[s : s + (1 << 16)]] * c[b[s : s + (1 << 16)]]).sum(axis=1)
-            bq, bi, bs = _best(np.concatenate((bq, a)), np.concatenate((bi, c_ids[b])), np.concatenate((bs, scores)), k)
-            full = np.flatnonzero(np.bincount(bq, minlength=len(q)) == k)
-            last = np.searchsorted(bq, full, "right") - 1
-            bound[full] = np.maximum(bound[full], bs[last])
-        return pa.RecordBatch.from_arrays([pa.array(q_ids[bq]), pa.array(bi), pa.array(bs)], ["query_id", "vec_id", "score"])
-
-    found = left.join(right, ["qb", "cb"]).select("q_ids", "q_vectors", "c_ids", "c_vectors").mapInArrow(search, out)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            continue
+        upper = qr[live][:, :head] @ cr[part, :head].T + q_rest[live][:, None] * c_rest[part][None, :]
+        upper = np.maximum(upper + slack[live][:, None] * (1 + longest), -_LONG)
+        a, b = np.nonzero((upper >= bound[live][:, None]) & (q_ids[live][:, None] != c_ids[part][None, :]))
+        if not len(a):
+            continue
+        a, b = live[a], b + start
+        scores = np.empty(len(a), dtype=np.int64)
+        for s in range(0, len(a), 1 << 16):
+            scores[s : s + (1 << 16)] = exact_scores(q[a[s : s + (1 << 16)]], c[b[s : s + (1 << 16)]])
+        bq, bi, bs = _best(np.concatenate((bq, a)), np.concatenate((bi, c_ids[b])), np.concatenate((bs, scores)), k)
+        full = np.flatnonzero(np.bincount(bq, minlength=len(q)) == k)
+        last = np.searchsorted(bq, full, "right") - 1
+        bound[full] = np.maximum(bound[full], bs[last])
+    return q_ids[bq], bi, bs
+
+
+class Search:
+    """Candidates in blocks, and queries with their bounds."""
+
+    def __init__(self, vectors: DataFrame, is_query: Column, k: int):
+        vectors = vectors.select("*", F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x).alias("n2"))
+        facts = vectors.agg(F.max(F.size("q")).alias("d"), F.count("*").alias("n"), F.count_distinct(F.when(is_query, F.col("vec_id"))).alias("m")).first()
+        self.k, self.d = k, max(1, facts["d"] or 0)
+        self.n_candidates, self.n_queries = -(-facts["n"] // CANDIDATE_BLOCK), -(-facts["m"] // QUERY_BLOCK)
+        if not facts["m"]:
+            return
+        d = self.d
+        self.rotation = _rotation(vectors, d)
+        longest = vectors.orderBy(F.desc("n2"), "vec_id").limit(LONGEST).select("vec_id", "q").toArrow()
+        long_ids, long_vectors = longest["vec_id"].to_numpy(), _matrix(longest["q"].combine_chunks(), d)
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Packs the rows of each block, longest first, into rows of CANDIDATE_BLOCK vectors at most twice over."""
+            held: dict[int, list] = {}
+
+            def packed(b: int, rows: list) -> pa.RecordBatch:
+                ids, m = (np.concatenate([x[k] for x in rows]) for k in range(2))
+                n = _lengths(m)
+                order = np.lexsort((ids, -n))
+                return pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([float(n.max())]), pa.array([ids[order].tobytes()], pa.binary()), pa.array([m[order].tobytes()], pa.binary())], ["cb", "most", "c_ids", "c_vectors"])
+
+            for batch in batches:
+                which = batch.column(0).to_numpy()
+                ids, m = batch.column(1).to_numpy(), _matrix(batch.column(2), d)
+                for b in np.unique(which):
+                    rows = held.setdefault(int(b), [])
+                    rows.append((ids[which == b], m[which == b]))
+                    if sum(len(x[0]) for x in rows) >= 2 * CANDIDATE_BLOCK:
+                        yield packed(int(b), held.pop(int(b)))
+            for b, rows in held.items():
+                yield packed(b, rows)
+
+        # Length decides only the order of work, not the result, so the dealing needs no exact ranks: ranges of (length, id).
+        dealt = vectors.repartitionByRange(self.n_candidates, F.desc("n2"), F.col("vec_id")).select(F.spark_partition_id().alias("cb"), "vec_id", "q")
+        self.candidates = materialise(dealt.mapInArrow(blocks, "cb int, most double, c_ids binary, c_vectors binary"), "candidates")
+        # The last block of each class of length: a row for each of fewer than 2048 * CLASSES classes.
+        length_class = F.floor(CLASSES * F.log2(F.greatest("most", F.lit(1.0)))).cast("bigint")
+        lasts = sorted((r["c"], r["cb"]) for r in self.candidates.groupBy(length_class.alias("c")).agg(F.max("cb").alias("cb")).collect())
+        self.classes, self.last_blocks = np.array([x[0] for x in lasts]), np.maximum.accumulate(np.array([x[1] for x in lasts])[::-1])[::-1]
+
+        def first_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids, q = batch.column(0).to_numpy(), _matrix(batch.column(1), d)
+                bound = np.full(len(q), -np.inf)
+                for start in range(0, len(q), 512):
+                    own = slice(start, start + 512)
+                    scores = np.clip(q[own] @ long_vectors.T, -_LONG, _LONG)
+                    scores -= 1e-6 * (1 + _lengths(q[own]))[:, None] * (1 + _lengths(long_vectors))[None, :]
+                    scores[ids[own, None] == long_ids[None, :]] = -np.inf
+                    if scores.shape[1] >= k:
+                        bound[own] = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bound)], ["vec_id", "q", "bound"])
+
+        first = vectors.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
+        self.queries = materialise(first.mapInArrow(first_bounds, "vec_id bigint, q array<double>, bound double"), "queries")
+
+    def raise_bounds(self, best: DataFrame) -> None:
+        """From the k-th of the best (query_id, rank, score) so far."""
+        kth = best.where(F.col("rank") == self.k).select(F.col("query_id").alias("k_id"), F.col("score").cast("double").alias("kth"))
+        joined = self.queries.join(kth, F.col("vec_id") == F.col("k_id"), "left")
+        # A long as a double may be rounded up.
+        lowered = F.col("kth") - 1e-6 * (1 + F.abs("kth"))
+        self.queries = materialise(joined.select("vec_id", "q", F.greatest("bound", lowered).alias("bound")), "queries")
+
+    def query_blocks(self) -> DataFrame:
+        """Packed queries of like reach: ids, vectors, bounds, and upto, the last candidate block that any of them needs."""
+        d, classes, last_blocks = self.d, self.classes, self.last_blocks
+
+        def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+            def packed() -> pa.RecordBatch:
+                ids, m, bound, need = (np.concatenate([x[k] for x in held]) for k in range(4))
+                held.clear()
+                # One class of length less than needed: logarithms may be rounded.
+                at = int(np.searchsorted(classes, int(_class(need).min()) - 1))
+                upto = int(last_blocks[at]) if at < len(classes) else -1
+                return pa.RecordBatch.from_arrays([pa.array([upto], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, bound))], ["upto", "q_ids", "q_vectors", "q_bounds"])
+
+            for batch in batches:
+                held.append((batch.column(0).to_numpy(), _matrix(batch.column(1), d), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)))
+                if sum(len(x[0]) for x in held) >= 2 * QUERY_BLOCK:
+                    yield packed()
+            if held and sum(len(x[0]) for x in held):
+                yield packed()
+
+        # The least length of a candidate that reaches the bound.
+        length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
+        need = F.when((F.col("bound") > 0) & (length > 0), F.col("bound") / length * (1 - 1e-6)).otherwise(0.0)
+        queries = self.queries.withColumn("need", need).repartitionByRange(self.n_queries, "need", "vec_id")
+        return queries.select("vec_id", "q", "bound", "need").mapInArrow(blocks, "upto int, q_ids binary, q_vectors binary, q_bounds binary")
+
+    def block_pairs(self, lo: int, hi: int) -> DataFrame:
+        """A row for each block of queries and each candidate block from lo to hi - 1 that it needs."""
+        needed = self.query_blocks().where(F.col("upto") >= lo)
+        return needed.select("q_ids", "q_vectors", "q_bounds", F.explode(F.sequence(F.lit(lo), F.least("upto", F.lit(hi - 1)))).alias("cb"))
+
+    def found(self, lo: int, hi: int) -> DataFrame:
+        d, k, rotation = self.d, self.k, self.rotation
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in range(batch.num_rows):
+                    q_ids, q, bound, c_ids, c = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in enumerate((np.int64, float, float, np.int64, float)))
+                    told = search_blocks(q_ids, q.reshape(-1, d), bound, c_ids, c.reshape(-1, d), rotation, k)
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, told)), ["query_id", "vec_id", "score"])
+
+        candidates = self.candidates.where(F.col("cb").between(lo, hi - 1)).select("cb", "c_ids", "c_vectors")
+        pairs = self.block_pairs(lo, hi).join(candidates, "cb").select("q_ids", "q_vectors", "q_bounds", "c_ids", "c_vectors")
+        return pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
+    """query_id, rank, vec_id and score of the k best candidates of each query; `vectors` as integer_vectors() gives them."""
+    search = Search(vectors, is_query, k)
+    if not search.n_queries:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best, lo, hi = None, 0, FIRST_ROUND
+    while True:
+        found = search.found(lo, min(hi, search.n_candidates))
+        both = found if best is None else found.union(best.select("query_id", "vec_id", "score"))
+        best = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if hi >= search.n_candidates:
+            return best
+        best = materialise(best, "best")
+        search.raise_bounds(best)
+        lo, hi = hi, hi * GROWTH

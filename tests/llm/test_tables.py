@@ -12,6 +12,8 @@ from spillway.llm import chat, topk
 def plain_top(rows, k):
     import math
 
+    least, most = -(1 << 63), (1 << 63) - 1
+
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     queries = {}
     for i, v in ok:
@@ -19,13 +21,15 @@ def plain_top(rows, k):
             queries[i] = min(v, queries.get(i, v))
     out = Counter()
     for i, q in queries.items():
-        found = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for j, v in ok if j != i)[:k]
+        found = sorted((-min(most, max(least, sum(a * b for a, b in zip(q, v, strict=False)))), j) for j, v in ok if j != i)[:k]
         out.update((i, r + 1, j, -s) for r, (s, j) in enumerate(found))
     return out
 
 
 @pytest.mark.parametrize("block", [4096, 16])
 def test_top_k_is_exact(spark, block, monkeypatch):
+    monkeypatch.setattr(topk, "FIRST_ROUND", 2)
+    monkeypatch.setattr(topk, "GROWTH", 2)
     monkeypatch.setattr(topk, "CANDIDATE_BLOCK", block)
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
     monkeypatch.setattr(topk, "LONGEST", 20)
@@ -38,6 +42,29 @@ def test_top_k_is_exact(spark, block, monkeypatch):
     assert got == plain_top(rows, 5)
 
 
+def test_scores_of_very_long_vectors(spark):
+    """Beyond 2**53, beyond 64 bits, and both ways."""
+    r = random.Random(6)
+    rows = [(i, [r.choice([-1, 1]) * r.random() * 10.0 ** r.choice([0, 6, 9]) for _ in range(4)]) for i in range(1, 120)]
+    rows += [(200, [3e38] * 4), (201, [3e38, -3e38, 1.0, 2.0]), (202, [-3e38] * 4), (203, [1e9, 1e9, 1e9, 1e9]), (250, [1e9, -1e9, 0.5, 1e9]), (300, [1e300] * 4), (350, [1.7e308] * 4), (351, [1e307] * 4)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = Counter(tuple(x) for x in topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5).collect())
+    assert got == plain_top([(i, v) for i, v in rows if max(map(abs, v)) < 7e305], 5)
+
+
+def test_blocks_that_no_query_can_use_are_not_joined(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "LONGEST", 32)
+    r = random.Random(7)
+    rows = [(i, [(abs(r.gauss(0, 1)) + 0.1) * 40 / (1 + i) for _ in range(4)]) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    search = topk.Search(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5)
+    blocks = search.query_blocks().count()
+    assert search.n_candidates == 25 and 0 < search.block_pairs(0, 25).count() < blocks * 25 / 2
+    assert Counter(tuple(x) for x in topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5).collect()) == plain_top(rows, 5)
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(50, [1.0]), (51, [2.0])], "vec_id bigint, embedding array<float>")
     search = lambda d: [tuple(x) for x in topk.top_k(topk.integer_vectors(d), F.col("vec_id") % 50 == 0, 5).collect()]
