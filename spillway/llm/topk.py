@@ -95,11 +95,11 @@ def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
     return np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy()
 
 
-def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Inner products of the rows of q with those of c, as longs."""
-    most = float((_lengths(q) * _lengths(c)).max(initial=0.0))
+def exact_scores(q: np.ndarray, c: np.ndarray, plain: bool = False) -> np.ndarray:
+    """Inner products of the rows of q with those of c, as longs; plain: all |q| * |c| are under 2**53."""
+    most = 0.0 if plain else float((_lengths(q) * _lengths(c)).max(initial=0.0))
     if most < 2.0**53:  # no sum of products exceeds it, so every one is exact
-        return (q * c).sum(axis=1).astype(np.int64)
+        return np.einsum("ij,ij->i", q, c).astype(np.int64)
     if most < 2.0**62 and max(np.abs(q).max(), np.abs(c).max()) < 2.0**62:
         return (q.astype(np.int64) * c.astype(np.int64)).sum(axis=1)
     whole = [sum(int(x) * int(y) for x, y in zip(a, b, strict=True)) for a, b in zip(q.tolist(), c.tolist(), strict=True)]
@@ -124,6 +124,7 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np
     q_len, c_len = _lengths(qr), _lengths(cr)
     q_rest, c_rest = _lengths(qr[:, head:]), _lengths(cr[:, head:])
     slack = 1e-6 * (1 + q_len)
+    plain = float(q_len.max(initial=0.0)) * float(c_len.max(initial=0.0)) < 2.0**52
     bq, bi, bs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for start in range(0, len(c), STEP):
         part = slice(start, start + STEP)
@@ -139,10 +140,16 @@ def search_blocks(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np
         a, b = np.nonzero((upper >= bound[live][:, None]) & (q_ids[live][:, None] != c_ids[part][None, :]))
         if not len(a):
             continue
-        a, b = live[a], b + start
-        scores = np.empty(len(a), dtype=np.int64)
-        for s in range(0, len(a), 1 << 16):
-            scores[s : s + (1 << 16)] = exact_scores(q[a[s : s + (1 << 16)]], c[b[s : s + (1 << 16)]])
+        if plain and 16 * len(a) > upper.size:  # many pairs: all products at once
+            scores = (q[live] @ c[part].T)[a, b].astype(np.int64)
+            a, b = live[a], b + start
+        else:
+            a, b = live[a], b + start
+            scores = np.empty(len(a), dtype=np.int64)
+            for s in range(0, len(a), 1 << 16):
+                scores[s : s + (1 << 16)] = exact_scores(q[a[s : s + (1 << 16)]], c[b[s : s + (1 << 16)]], plain)
+        reached = scores >= bound[a]
+        a, b, scores = a[reached], b[reached], scores[reached]
         bq, bi, bs = _best(np.concatenate((bq, a)), np.concatenate((bi, c_ids[b])), np.concatenate((bs, scores)), k)
         full = np.flatnonzero(np.bincount(bq, minlength=len(q)) == k)
         last = np.searchsorted(bq, full, "right") - 1
