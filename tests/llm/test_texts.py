@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -137,23 +138,79 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 
 def test_the_article_and_nothing_else():
-    assert html.Page(PAGE).text().split("\n\n") == ["Head & line", "One two three four", "Five <b> é😀 six", "a", "b", "c", "d"]
-    assert html.Page("").text() == "" and html.Page("plain < text &amp").text() == "plain < text &" and html.Page("<p>open <b>bold<script>x").text() == "open bold"
-    assert html.Page("<article>" + "<div>" * 5000 + "deep").text() == "deep"
+    assert html.Page(PAGE).text()[0].split("\n\n") == ["Head & line", "One two three four", "Five <b> é😀 six", "a", "b", "c", "d"]
+    text = lambda x: html.Page(x).text()[0]
+    assert text("") == "" and text("plain < text &amp") == "plain < text &" and text("<p>open <b>bold<script>x") == "open bold"
+    assert text("<article>" + "<div>" * 5000 + "deep") == "deep"
+    assert text("<p>a <span class=ad>b <span>c</span> d</span> e<p>f <span class=ad>open<p>g") == "a e\n\nf\n\ng"
+    assert text("<p>a<span class=ad><div>b</div></span> c</p>d <img class=ad> e <span class=ad /> f") == "a\n\nc\n\nd e f"
 
 
-def test_templates_of_a_host(spark):
+def test_many_open_elements_take_little_time():
+    for x in ("<span class=ad>", "<span class=ad>x", "<div><span class=ad>", "</p>", "</span>", "<p>", "<li>", "<div class=ad>"):
+        began = time.perf_counter()
+        html.Page(f"<article><p>text</p>{x * 10000}")
+        assert time.perf_counter() - began < 1
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_templates_of_a_host(spark, most, monkeypatch):
+    monkeypatch.setattr(html, "BROADCAST_ROWS", most)
     box = "<div><p>About this site</p><p>Terms and more</p></div>"
     page = lambda k: f"<body>{box}<div><p>{prose(k, 9)}</p><p>{prose(k + 70, 9)}</p></div></body>"
     rows = [(k, f"http://A.example/{k}", page(k)) for k in range(12)] + [(50 + k, "http://b.example/x", page(900 + k)) for k in range(2)]
     rows += [(100 + k, "http://c.example/y", f"<body><p>{prose(5, 9)}</p></body>") for k in range(30)] + [(200, None, None), (201, "nonsense", ""), (202, "http://a.example", box)]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("own"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("own")).withColumn("hits", F.lit("own"))
     out = {r["page_id"]: r for r in html.extract(df).collect()}
-    assert all(out[k]["text"] == f"{prose(k, 9)}\n\n{prose(k + 70, 9)}" and out[k]["n_chars"] == len(out[k]["text"]) for k in range(12))
+    assert all(out[k]["text"] == f"{prose(k, 9)}\n\n{prose(k + 70, 9)}" and out[k]["n_chars"] == len(out[k]["text"]) and out[k]["n_template_blocks"] == 2 for k in range(12))
     assert out[50]["text"].startswith("About this site") and out[129]["text"] == prose(5, 9) and out[200]["text"] == out[201]["text"] == out[202]["text"] == ""
     assert html.extract(df.limit(0)).collect() == []
 
 
+def subtree_strings(source):
+    """(subtree as a string, where it stands) of each element of well-formed pages, by the library's own parser."""
+    import xml.etree.ElementTree as ET
+
+    found = []
+
+    def walk(e, within):
+        inside = within or e.tag == "article"
+        if e.tag not in ("html", "body", "article"):
+            found.append((ET.tostring(e, encoding="unicode", method="xml").partition(e.tail or "\0")[0], "article" if within else "prose" if e.tag == "p" else "other"))
+        for x in e:
+            walk(x, inside)
+
+    walk(ET.fromstring(source), False)
+    return set(found)
+
+
+def test_what_a_plain_count_finds_recurring_is_removed(spark):
+    """Menus of a few forms, a line in many articles, one in nearly all; nothing here goes by its kind or name."""
+    r = random.Random(9)
+    menus = [f"<section><p>{prose(40 + k, 3)}</p><p>{prose(50 + k, 2)}</p></section>" for k in range(4)]
+    rows = []
+    for k in range(60):
+        lines = [prose(1000 + 10 * k + j, 8) for j in range(3)] + (["some articles say this"] if k % 3 == 0 else []) + (["nearly all say this"] if k % 10 else [])
+        rows.append((k, f"http://h{k % 2}.example/{k}", f"<html><body>{r.choice(menus)}<section><p>{prose(5000 + k, 3)}</p></section><article>{''.join(f'<p>{x}</p>' for x in lines)}</article></body></html>"))
+    pages = defaultdict(list)
+    for _, url, source in rows:
+        pages[url[:10]].append(subtree_strings(source))
+    template = {}
+    for host, all_pages in pages.items():
+        counts = Counter(x for p in all_pages for x in p)
+        share = {"other": 0.05, "prose": 0.2, "article": 0.5}
+        template[host] = {x for x, n in counts.items() if n > 4 and n > share[x[1]] * len(all_pages)}
+    out = {x["page_id"]: x for x in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for k, url, source in rows:
+        mine = subtree_strings(source) & template[url[:10]]
+        articles = re.search("<article>(.*)</article>", source)[1]
+        want = [x for x in re.findall("<p>(.*?)</p>", articles) if (f"<p>{x}</p>", "article") not in mine]
+        gone = sum(len(re.findall("<p>", x)) for x, where in mine if where != "prose")
+        assert out[k]["text"].split("\n\n") == want and out[k]["n_template_blocks"] == gone
+    assert any("nearly" in x[0] for x in template["http://h0."]) and not any("some" in x[0] for x in template["http://h0."])
+    assert sum(x["n_template_blocks"] > 0 for x in out.values()) > 50
+
+
 def test_bpe_is_that_of_the_library(spark):
     import tiktoken
 
