@@ -3,16 +3,18 @@
 Lines are normalised (lower case, digits as 0, white space as single spaces), hashed, and counted over the distinct
 documents of their host. Exact copies of a text are one document, by a hash of the whole text, and a document counts once
 for a line, however often and between whichever lines it has it. Lines in more documents of a host than `min_docs` and
-than `max_share` of its documents (all its rows) are removed; a document that loses more than `max_lost` of its words is
-rejected.
+than `max_share` of its documents (its distinct texts with a line) are removed; a document that loses more than `max_lost`
+of its words is rejected.
 
-Only hashes are shuffled, never texts (but where cleaned texts are asked for, and lines were removed). Copies combine
-before the shuffle, each with the hashes of its lines in one row, and so do the counts, so a line in every document costs
-one row per task; the join of line positions with the lines to remove is an equi-join that Spark can split where a key is
-hot. Hosts are joined by name with their limits, which are as few as the hosts.
+Texts are read and normalised once: statistics and hashed lines go to a table in the shared folder, from which all else
+follows. Only hashes are shuffled, never texts (but where cleaned texts are asked for). Copies combine before the shuffle,
+each with the hashes of its lines in one row, and so do the counts, so a line in every document costs one row per task;
+the join of line positions with the lines to remove is an equi-join that Spark can split where a key is hot. Hosts are
+joined by name with their limits, which are as few as the hosts.
 
 Defined cases: null text is empty; a null host is a host of its own; documents with the same doc_id, host and text get
-the same verdict; the null doc_id is an id like others; extra columns are kept; empty in, empty out.
+the same verdict; the null doc_id is an id like others; extra columns are kept, but for those named like a result; empty
+in, empty out.
 """
 
 from __future__ import annotations
@@ -20,14 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import GAP_CLASS, SPACE, let, text_of
+from ._util import GAP_CLASS, SPACE, let, materialise, text_of
 
 MIN_WORDS, MAX_REPEATED = 20, 30
 #: Defaults of the method: documents of a host, their share, and the share of its words that a document may lose.
 MIN_DOCS, MAX_SHARE, MAX_LOST = 20, 0.1, 0.5
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-_STATS = "_spillway_stats"
 
 
 def _covered(hashes: Column) -> Column:
@@ -44,7 +45,7 @@ def _covered(hashes: Column) -> Column:
 
 
 def text_stats(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and lines (hash and words of each)."""
+    """A struct of n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
 
     def of(words: Column) -> Column:
         n = F.size(words)
@@ -72,46 +73,49 @@ def normalised_lines(text: Column) -> Column:
     return lines
 
 
-def _keyed(docs: DataFrame, host: str) -> DataFrame:
+def _key(host: str) -> Column:
     """doc_id, host and a hash of the text: what tells documents apart here."""
-    text = text_of()
-    return docs.select(
-        F.struct(F.col("doc_id").cast("string").alias("d"), F.col(host).cast("string").alias("h"), F.xxhash64(text, F.lit(7)).alias("t")).alias("key"),
-        F.col(host).cast("string").alias("host"),
-        text.alias("text"),
-    )
+    return F.struct(F.col("doc_id").cast("string").alias("d"), F.col(host).cast("string").alias("h"), F.xxhash64(text_of(), F.lit(7)).alias("t"))
+
+
+def _lines(text: Column) -> Column:
+    """Number (from 0), hash and words of each line with a word."""
+    each = F.transform(normalised_lines(text), lambda x, i: F.struct(i.alias("i"), F.when(x != "", F.xxhash64(x)).alias("h"), F.size(F.split(x, " ")).alias("w")))
+    return F.filter(each, lambda x: x["h"].isNotNull())
 
 
-def removed_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """For each document that loses lines (key): their numbers, from 0, and how many words they have."""
-    keyed = _keyed(docs, host)
-    hashed = keyed.select("key", "host", F.transform(normalised_lines(F.col("text")), lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("h"), F.when(x != "", F.size(F.split(x, " "))).otherwise(0).alias("w"))).alias("lines"))
-    lines = hashed.select("key", "host", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("i"), x["h"].alias("h"), x["w"].alias("w"))), lambda x: x["h"].isNotNull()).alias("lines"))
-    # Per distinct text of a host, a line counts once.
-    texts = lines.select("host", F.col("key.t").alias("t"), F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("hs")).where(F.size("hs") > 0).dropDuplicates(["host", "t"])
+def removed_lines(hashed: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """For each document that loses lines (key): their numbers, and how many words they have; from rows of key and lines."""
+    # A row for each distinct text of a host: a line counts once there.
+    texts = hashed.where(F.size("lines") > 0).select(F.col("key.h").alias("host"), F.col("key.t").alias("t"), F.array_distinct(F.transform("lines", lambda x: x["h"])).alias("hs")).dropDuplicates(["host", "t"])
     counts = texts.select("host", F.explode("hs").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    limits = keyed.groupBy("host").agg((F.count("*") * F.lit(max_share)).alias("most"))
+    limits = texts.groupBy("host").agg((F.count("*") * F.lit(max_share)).alias("most"))
     above = counts.join(limits, counts["host"].eqNullSafe(limits["host"])).where(F.col("n") > F.col("most")).select(counts["host"].alias("above_host"), F.col("h").alias("above_h"))
     # A line's count is at least min_docs, so a document has few such lines: only they go on from the join.
-    placed = lines.select("key", "host", F.explode("lines").alias("x")).select("key", "host", "x.i", "x.h", "x.w")
-    found = placed.join(above, placed["host"].eqNullSafe(F.col("above_host")) & (placed["h"] == F.col("above_h")), "left_semi")
+    placed = hashed.select("key", F.explode("lines").alias("x")).select("key", "x.i", "x.h", "x.w")
+    found = placed.join(above, F.col("key.h").eqNullSafe(F.col("above_host")) & (placed["h"] == F.col("above_h")), "left_semi")
     each = found.groupBy("key", "i").agg(F.max("w").alias("w"))
     return each.groupBy("key").agg(F.collect_list("i").alias("numbers"), F.sum("w").cast("bigint").alias("n_removed_words"))
 
 
 def apply_rules(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, max_lost: float = MAX_LOST, with_text: bool = True) -> DataFrame:
     """docs with the statistics, n_removed_words, base_failed, kept and, with_text, clean_text (without the removed lines)."""
-    key = F.struct(F.col("doc_id").cast("string").alias("d"), F.col(host).cast("string").alias("h"), F.xxhash64(text_of(), F.lit(7)).alias("t"))
-    stats = docs.withColumn(_STATS, text_stats(text_of())).withColumn("_spillway_key", key)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     carried = [c for c in docs.columns if c not in {*names, "n_removed_words", "base_failed", "kept", "clean_text"} and (with_text or c != "text")]
-    stats = stats.select(*carried, "_spillway_key", *[F.col(f"{_STATS}.{n}").alias(n) for n in names])
-    lost = removed_lines(docs, host, min_docs, max_share).select(F.col("key").alias("_spillway_lost"), F.col("numbers").alias("_spillway_numbers"), "n_removed_words")
-    out = stats.join(lost, F.col("_spillway_key").eqNullSafe(F.col("_spillway_lost")), "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("bigint")))
+    numbered = {f"c{k}": F.col(c) for k, c in enumerate(carried)}  # apart from the operator's own columns
+    own = {} if with_text else numbered
+    first = docs.select(_key(host).alias("key"), text_stats(text_of()).alias("stats"), _lines(text_of()).alias("lines"), *[c.alias(n) for n, c in own.items()])
+    hashed = materialise(first, "lines")
+    lost = removed_lines(hashed, min_docs, max_share).withColumnRenamed("key", "lost_key")
+    judged = hashed.join(lost, F.col("key").eqNullSafe(F.col("lost_key")), "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("bigint")))
+    judged = judged.select(*own, "key", *[F.col(f"stats.{n}").alias(n) for n in names], "n_removed_words", "numbers")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_removed_words") <= max_lost * F.col("n_words")))
-    if with_text:
-        gone = F.col("_spillway_numbers")
-        clean = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
-        out = out.withColumn("clean_text", clean)
-    return out.drop("_spillway_key", "_spillway_lost", "_spillway_numbers")
+    judged = judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("n_removed_words") <= max_lost * F.col("n_words")))
+    out = [F.col(n).alias(c) for n, c in zip(numbered, carried, strict=True)] + [F.col(n) for n in (*names, "n_removed_words", "base_failed", "kept")]
+    if not with_text:
+        return judged.select(*out)
+    judged = judged.dropDuplicates(["key"])
+    rows = docs.select(*[c.alias(n) for n, c in numbered.items()], F.col("text").alias("own_text"), _key(host).alias("own_key"))
+    gone = F.col("numbers")
+    clean = F.when(gone.isNull(), F.col("own_text")).otherwise(F.array_join(F.filter(F.split(F.col("own_text"), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    return rows.join(judged, F.col("own_key").eqNullSafe(F.col("key"))).withColumn("own_clean", clean).select(*out, F.col("own_clean").alias("clean_text"))

@@ -37,12 +37,12 @@ windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELEC
 again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
 rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(8) AS r(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, len(l) - len(list_distinct(l)) AS n FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d)),
-norm AS (SELECT doc_id, source, list_transform(string_split(translate(lower(t), '123456789' || chr(9) || chr(11) || chr(12) || chr(13), '000000000    '), chr(10)), lambda x: trim(regexp_replace(x, ' +', ' ', 'g'), ' ')) AS l FROM d),
-placed AS (SELECT doc_id, source, l[i] AS line, CASE WHEN i > 1 THEN l[i - 1] ELSE '' END AS before, coalesce(l[i + 1], '') AS after FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM norm) WHERE l[i] <> ''),
-counts AS (SELECT source, line, count(*) AS n FROM (SELECT DISTINCT source, line, before, after FROM placed) GROUP BY source, line),
-hosts AS (SELECT source, count(*) AS docs FROM d GROUP BY source),
-above AS (SELECT source, line FROM counts JOIN hosts USING (source) WHERE n > 20 AND n > 0.1 * docs),
-lost AS (SELECT doc_id, sum(len(string_split(line, ' ')))::BIGINT AS n FROM placed JOIN above USING (source, line) GROUP BY doc_id),
+norm AS (SELECT doc_id, source, t, unnest(string_split(translate(lower(t), '123456789' || chr(9) || chr(11) || chr(12) || chr(13), '000000000    '), chr(10))) AS raw FROM d),
+own AS (SELECT doc_id, source, t, trim(regexp_replace(raw, ' +', ' ', 'g'), ' ') AS line FROM norm WHERE trim(raw, ' ') <> ''),
+counts AS (SELECT source, line, count(DISTINCT t) AS n FROM own GROUP BY source, line),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM own GROUP BY source),
+above AS (SELECT counts.source, line FROM counts JOIN hosts ON counts.source IS NOT DISTINCT FROM hosts.source WHERE n > 20 AND n > 0.1 * docs),
+lost AS (SELECT doc_id, sum(len(string_split(own.line, ' ')))::BIGINT AS n FROM own JOIN above ON own.source IS NOT DISTINCT FROM above.source AND own.line = above.line GROUP BY doc_id),
 stats AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, lines.n::BIGINT AS n_dup_lines,
