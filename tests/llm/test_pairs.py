@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import awkward, components, cut, frame, prose, shingles
+from helpers import awkward, components, cut, frame, prose, shingles, words
 
 from spillway.llm import ngram_join, substring
 from spillway.llm.components import components as connected
@@ -125,6 +125,55 @@ def test_substrings_at_boundaries(spark, seed):
     assert got == Counter(cut(rows))
 
 
+def plain_parse(rows, window=50):
+    """Greedy factors of each document against the blocks of documents of smaller id, word by word."""
+    index = {}
+    for d, t in sorted(rows):
+        w = words(t)
+        for i in range(len(w) - window + 1):
+            index.setdefault(tuple(w[i : i + window]), (d, i))
+    out = Counter()
+    for d, t in rows:
+        w = words(t)
+        at = lambda i: index.get(tuple(w[i : i + window]), (d, 0)) if i + window <= len(w) else (d, 0)  # noqa: B023, E731
+        i = 0
+        while i < len(w):
+            r, p = at(i)
+            if r >= d:
+                i += 1
+                continue
+            n = window
+            while at(i + n - window + 1) == (r, p + n - window + 1):
+                n += 1
+            out[(d, i, n, r, p)] += 1
+            across = [j for j in range(i + n - window + 1, i + n) if at(j)[0] < d]
+            i = across[0] if across else i + n
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_factors_are_those_of_a_greedy_parser(spark, seed):
+    r = random.Random(20 + seed)
+    sources = [prose(700 + k, 260).split() for k in range(3)]
+    rows = []
+    for d in range(30):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            s, n = r.choice(sources), r.randrange(45, 140)
+            a = r.randrange(0, 260 - n)
+            parts += s[a : a + n] + prose(r.randrange(10**6), r.choice([0, 0, 4])).split()
+        rows.append((d, " ".join(parts)))
+    want = plain_parse(rows)
+    got = Counter(tuple(x) for x in substring.factorise(frame(spark, [(d, t, None, None, 0) for d, t in rows])).collect())
+    assert got == want and len({x[3] for x in want}) > 3
+
+
+def test_a_copy_is_one_factor(spark):
+    rows = [(5, prose(1, 60)), (7, prose(1, 60)), (7, prose(1, 60)), (9, prose(2, 40)), (10, prose(2, 40)), (None, prose(1, 60))]
+    got = Counter(tuple(x) for x in substring.factorise(frame(spark, [(d, t, None, None, 0) for d, t in rows])).collect())
+    assert got == Counter({(7, 0, 60, 5, 0): 2})
+
+
 def test_kept_text_keeps_its_form(spark):
     passage = prose(8, 55)
     out = substring.remove_repeats(frame(spark, [(1, passage, None, None, 0), (2, f"Head\n\n{passage}\n\ttail  end", None, None, 0)])).orderBy("doc_id").collect()
