@@ -1,126 +1,111 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on the passages of toxic texts that ordinary texts
-lack. A window of a text is compressed with the first, and with both together; the bytes that the toxic passages save
-are its distance. How much a text's windows save, at most and together, is mapped to a probability by a logistic curve
-that is fitted on labelled texts the dictionaries have not seen.
-
-Training uses a bounded sample of labelled rows: the TOXIC_ROWS and ORDINARY_ROWS rows of smallest hash of doc_id; this
-is the only part that does not grow with the input. Scores are computed for every text as a whole, window by window,
-from its text alone.
-
-Defined cases: null and empty texts have the score of a text that saves nothing; repeated rows are scored alike; with no
-labels of one class every score is 0; null labels are not learned from; extra columns are ignored; empty in, empty out.
+Zstandard dictionaries are trained on ordinary and on toxic text. A window (a word with the spaces around it) is compressed
+with an ordinary one, and with that and a toxic one; the bytes that the toxic one saves are its distance. How much a text's
+windows save, at most and how often, is mapped to a probability by a logistic curve that is fitted on labelled texts that
+no dictionary has seen.
+
+Most windows of a toxic text are ordinary, so a toxic dictionary is trained in two steps, both by zstandard. The toxic
+texts are halved, and a dictionary is trained on each half. The windows of a half that the other half's dictionary saves
+LEAST_SAVED bytes of or more are what toxic texts have in common and ordinary ones lack; the toxic dictionary is trained on
+them. As a dictionary holds some rare ordinary words and lacks others by chance, PAIRS of them are trained, each on another
+part of the ordinary texts and other halves of the toxic ones, and a window's distance is the median of theirs, or 0 if it
+is less or if all toxic dictionaries together save nothing of it (most windows: these are compressed twice only). A fixed
+tail, which all dictionaries hold, follows every window, as zstandard neither looks for matches in the last bytes of its
+input nor compresses at all what is very short.
+
+Training uses a bounded sample of labelled rows: the TOXIC_ROWS and ORDINARY_ROWS rows of smallest hash of doc_id, as far
+as they have SAMPLE_BYTES characters of a class together, and of rows that share a doc_id the one of smallest text; this is
+the only part that does not grow with the input. Scores are computed for every text as a whole, window by window, from its
+text alone.
+
+Defined cases: null and empty texts have the score of a text that saves nothing; repeated rows are scored alike; with too
+few labels of one class every score is 0; null labels are not learned from, and a doc_id with both labels counts as both;
+words of over WINDOW bytes are several windows; extra columns are ignored; empty in, empty out.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._util import small_batches, text_of
 
-#: Rows of a class that are learned from, at most.
-TOXIC_ROWS, ORDINARY_ROWS = 2000, 4000
-#: Bytes of a window, and of each dictionary; the level of compression.
-WINDOW, DICTIONARY, LEVEL = 48, 2048, 10
-#: A word or its beginning (characters of it) is a toxic passage if this share of the sample's toxic texts has it, and so
-#: many texts, and if that share is so many times the share of ordinary ones.
-LEAST_SHARE, LEAST_TEXTS, LEAST_RATIO, PREFIXES = 0.012, 4, 40, range(3, 11)
+#: Rows of a class that are learned from, at most, and characters of their texts together.
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 2000, 4000, 1 << 26
+#: Bytes of a window at most, and the level of compression.
+WINDOW, LEVEL = 48, 10
+#: Bytes of the dictionaries: of ordinary text, of each half of the toxic texts, of what these have in common.
+ORDINARY, HALF, TOXIC = 300_000, 112_000, 3072
+#: Pairs of dictionaries; an odd number.
+PAIRS = 5
+#: Bytes that the other half's dictionary must save of a window.
+LEAST_SAVED = 2
+#: Bytes of the segments that zstandard puts together to a dictionary, and of the strings that it counts.
+ORDINARY_SEGMENTS, TOXIC_SEGMENTS = (64, 8), (12, 6)
+#: Windows whose length is remembered by a task; beyond them it starts anew.
+MEMORY_WINDOWS = 1 << 19
 _GAPS = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
+_TAIL = bytes(range(1, 25))
 
 
-def windows(text: str, size: int = WINDOW) -> list[bytes]:
-    """The text in lower case, in parts of about `size` bytes that end between words."""
-    data = (" " + " ".join(text.translate(_GAPS).lower().split(" "))).encode()
-    out, at = [], 0
-    while len(data) - at > size:
-        cut = data.rfind(b" ", at + 1, at + size)
-        if cut < 0:
-            cut = data.find(b" ", at + size)
-            if cut < 0:
-                break
-        out.append(data[at:cut])
-        at = cut
-    out.append(data[at:])
-    return out
-
-
-def _beginnings(text: str) -> set[str]:
-    words = {w.strip(".,;:!?*#$%&|<>\"'()[]") for w in text.lower().split()}
-    return {w[:n] for w in words for n in PREFIXES if len(w) >= n} | {f"{w} " for w in words if len(w) >= PREFIXES[0]}
-
-
-def toxic_passages(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words and beginnings of words of the toxic texts that ordinary ones hardly have; the most frequent last.
-
-    Of beginnings of one another only the shortest is taken, and lengthened as long as nearly all texts that have it
-    have the longer one too: what follows is ordinary text.
-    """
-    t, o = Counter(), Counter()
-    for x in set(toxic):
-        t.update(_beginnings(x))
-    for x in set(ordinary):
-        o.update(_beginnings(x))
-    rate = lambda n, of: (n + 0.5) / (len(of) + 1)
-    least = max(LEAST_TEXTS, LEAST_SHARE * len(set(toxic)))
-    found = {b for b, n in t.items() if n >= least and rate(n, toxic) >= LEAST_RATIO * rate(o[b], ordinary)}
-    short = [b for b in found if not any(b[:n] in found for n in range(PREFIXES[0], len(b)))]
-    longer: dict[str, tuple[int, str]] = {}
-    for b, n in t.items():
-        if len(b) > PREFIXES[0]:
-            longer[b[:-1]] = max(longer.get(b[:-1], (0, "")), (n, b))
-
-    def lengthened(b: str) -> str:
-        n, more = longer.get(b, (0, ""))
-        return lengthened(more) if n >= 0.9 * t[b] else b
-
-    return sorted({lengthened(b) for b in short}, key=lambda b: (t[b], b))
-
-
-def lookalikes(passages: list[str], ordinary: list[str]) -> list[str]:
-    """Parts of passages, but for whole ones, that ordinary texts have too: the longest of each."""
-    text = "\n".join(ordinary).lower()
-    found: set[str] = set()
-    for p in (f" {p}" for p in passages):
-        for n in range(len(p) - 1, 2, -1):
-            for at in range(len(p) - n + 1):
-                part = p[at : at + n]
-                if not any(part in f for f in found) and part in text:
-                    found.add(part)
-    return sorted(found)
+def windows(text: str) -> list[bytes]:
+    """The words of the text in lower case, each with the spaces around it; long ones in parts."""
+    words = [f" {w} ".encode() for w in text.translate(_GAPS).lower().split(" ") if w]
+    return [w[at : at + WINDOW] for w in words for at in range(0, len(w), WINDOW)]
 
 
-class Distance:
-    """Compares windows under the two dictionaries."""
-
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        import zstandard
+def _trained(size: int, samples: list[bytes], segments: tuple[int, int]) -> bytes:
+    """A dictionary's bytes; where there is too little text to train on, the text itself."""
+    import zstandard
 
-        raw = lambda b: zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        # The ordinary part ends both, so that what it matches costs the same under both.
-        self.a = zstandard.ZstdCompressor(dict_data=raw(ordinary), **options)
-        self.b = zstandard.ZstdCompressor(dict_data=raw(toxic + ordinary), **options)
+    try:
+        return zstandard.train_dictionary(size, samples, k=segments[0], d=segments[1], level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[:size]
 
-    def saved(self, text: str) -> list[int]:
-        """Bytes that the toxic passages save in each window."""
-        a, b = self.a.compress, self.b.compress
-        return [len(a(w)) - len(b(w)) for w in windows(text)]
 
+class Distance:
+    """Compares windows under ordinary dictionaries, and under each with a toxic one."""
 
-def features(saved: list[int]) -> list[float]:
-    x = np.sort(np.array([0, 0, *saved]))[::-1]
-    counts = [float(np.log1p((x >= n).sum())) for n in (2, 3, 4, 5, 6)]
-    return [1.0, float(min(x[0], 9)), float(min(x[1], 9)), float(min(x[2], 9)), *counts, float((x >= 4).mean())]
+    def __init__(self, pairs: list[tuple[bytes, bytes]]):
+        import zstandard
 
+        def compressor(content: bytes):
+            both = zstandard.ZstdCompressionDict(content + _TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            both.precompute_compress(level=LEVEL)
+            return zstandard.ZstdCompressor(dict_data=both, level=LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+        # The ordinary part ends both, so that what it matches costs the same under both.
+        self.pairs = [(compressor(ordinary), compressor(toxic + ordinary)) for ordinary, toxic in pairs]
+        self.all_toxic = compressor(b"".join(toxic for _, toxic in pairs) + pairs[0][0]) if len(pairs) > 1 else self.pairs[0][1]
+        self.known: dict[bytes, int] = {}
+
+    def saved(self, window: bytes) -> int:
+        """Bytes that the toxic dictionaries save of a window: the median."""
+        found = self.known.get(window)
+        if found is None:
+            if len(self.known) >= MEMORY_WINDOWS:
+                self.known.clear()
+            data = window + _TAIL
+            found = 0
+            if len(self.pairs[0][0](data)) > len(self.all_toxic(data)):
+                found = max(0, sorted(len(a(data)) - len(b(data)) for a, b in self.pairs)[len(self.pairs) // 2])
+            self.known[window] = found
+        return found
+
+    def features(self, text: str) -> list[float]:
+        x = np.array([0, 0, *map(self.saved, windows(text))])
+        first, second = sorted(np.partition(x, len(x) - 2)[-2:], reverse=True)
+        counts = [float(np.log1p((x >= n).sum())) for n in range(1, 7)]
+        return [1.0, float(min(first, 9)), float(min(second, 9)), *counts, 10.0 * float((x >= 3).mean()), 10.0 * float((x >= 1).mean()), float(np.log(len(x)))]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -132,40 +117,59 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray
     return w
 
 
-def train(toxic: list[str], ordinary: list[str]) -> dict | None:
-    """The dictionaries' bytes and the weights; two thirds of the texts train the dictionaries, the others the curve."""
-    import zstandard
+def toxic_dictionary(texts: list[list[bytes]], plain: bytes) -> bytes:
+    """Trained on the windows of toxic texts (distinct ones of each) that half of these have in common with the other."""
+    halves = texts[::2], texts[1::2]
+    common: list[bytes] = []
+    for own, other in (halves, halves[::-1]):
+        distance = Distance([(plain, _trained(HALF, [b"".join(x) for x in other if x], TOXIC_SEGMENTS))])
+        common += [b"".join(w for w in x if distance.saved(w) >= LEAST_SAVED) for x in own]
+    return _trained(TOXIC, [x for x in common if x], TOXIC_SEGMENTS)
+
 
-    if len(toxic) < 3 or len(ordinary) < 3:
+def train(toxic: list[str], ordinary: list[str]) -> dict | None:
+    """The pairs of dictionaries and the weights; two thirds of the texts train the dictionaries, the others the curve."""
+    if len(toxic) < 6 or len(ordinary) < 3 * PAIRS:
         return None
     parts = [([t for i, t in enumerate(x) if i % 3], [t for i, t in enumerate(x) if not i % 3]) for x in (toxic, ordinary)]
     (toxic_a, toxic_b), (ordinary_a, ordinary_b) = parts
-    samples = [w for t in ordinary_a for w in windows(t, 512)]
-    try:
-        plain = zstandard.train_dictionary(DICTIONARY, samples[: 1 << 15]).as_bytes()[-DICTIONARY:]
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        plain = b"".join(samples)[-DICTIONARY:]
-    passages = toxic_passages(toxic_a, ordinary_a)
-    marked = "\n".join(f" {p}" for p in passages).encode()[-DICTIONARY:] + b"\n"
-    # What ordinary texts share with a passage must save nothing.
-    plain = "\n".join(["", *lookalikes(passages, ordinary_a), ""]).encode() + plain
-    distance = Distance(plain, marked)
-    x = np.array([features(distance.saved(t)) for t in [*toxic_b, *ordinary_b]])
+    each = [list(dict.fromkeys(windows(t))) for t in toxic_a]
+    pairs = []
+    for k in range(PAIRS):
+        plain = _trained(ORDINARY, [x for t in ordinary_a[k::PAIRS] for x in _passages(t)], ORDINARY_SEGMENTS)
+        order = np.random.default_rng(k).permutation(len(each))
+        pairs.append((plain, toxic_dictionary([each[i] for i in order], plain)))
+    distance = Distance(pairs)
+    x = np.array([distance.features(t) for t in [*toxic_b, *ordinary_b]])
     y = np.array([1.0] * len(toxic_b) + [0.0] * len(ordinary_b))
-    return {"ordinary": plain, "toxic": marked, "weights": fit_logistic(x, y)}
+    return {"pairs": pairs, "weights": fit_logistic(x, y)}
+
+
+def _passages(text: str, size: int = 512) -> list[bytes]:
+    """The whole text, as its windows hold it, in parts of about `size` bytes."""
+    out, part, n = [], [], 0
+    for w in windows(text):
+        part.append(w)
+        n += len(w)
+        if n >= size:
+            out.append(b"".join(part))
+            part, n = [], 0
+    return [*out, b"".join(part)] if part else out
 
 
 def bucket(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS) -> dict | None:
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, sample_bytes: int = SAMPLE_BYTES) -> dict | None:
     """A model from labelled rows (doc_id, toxic) outside the held-out fold."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (bucket(F.col("doc_id")) != 2)).select(F.col("doc_id").alias("l_id"), "toxic").distinct()
     order = [F.xxhash64("l_id"), F.col("l_id")]
     # Both sides are bounded by the two numbers of rows.
     sample = usable.where(F.col("toxic") == 1).orderBy(*order).limit(toxic_rows).union(usable.where(F.col("toxic") == 0).orderBy(*order).limit(ordinary_rows))
-    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).select("doc_id", "text", "toxic").orderBy("doc_id", "text").limit(2 * (toxic_rows + ordinary_rows)).toArrow()
+    rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("l_id")).groupBy("l_id", "toxic").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("so_far", so_far).where(F.col("so_far") <= sample_bytes).orderBy(*order).select("text", "toxic").toArrow()
     texts, toxic = rows["text"].to_pylist(), rows["toxic"].to_pylist()
     return train([t for t, y in zip(texts, toxic, strict=True) if y], [t for t, y in zip(texts, toxic, strict=True) if not y])
 
@@ -174,10 +178,10 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> DataFr
     """doc_id, held_out, score and predicted of every row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        distance = Distance(model["ordinary"], model["toxic"]) if model else None
+        distance = Distance(model["pairs"]) if model else None
         for batch in batches:
             if model:
-                x = np.array([features(distance.saved(t)) for t in batch.column(1).to_pylist()])
+                x = np.array([distance.features(t) for t in batch.column(1).to_pylist()])
                 p = 1 / (1 + np.exp(-np.clip(x @ model["weights"], -30, 30)))
             else:
                 p = np.zeros(batch.num_rows)

@@ -131,6 +131,31 @@ def test_toxic_words_are_found_in_texts_that_were_held_out(spark):
     assert none.agg(F.max("score")).first()[0] == 0 and toxicity.score(frame(spark, []), None).collect() == []
 
 
+def test_scores_are_the_bytes_that_the_dictionaries_save():
+    """A window's distance, a text's features and the curve, recomputed; and a dictionary that was trained on a text saves it."""
+    import zstandard
+
+    plain, marked = [b"the quick brown fox " * 20, b"the lazy dog sleeps " * 20, b"a quick dog "], [b" grumblefoot ", b" grumblefoot snark ", b" snark "]
+    pairs = list(zip(plain, marked, strict=True))
+    distance = toxicity.Distance(pairs)
+
+    def length(content, w):
+        d = zstandard.ZstdCompressionDict(content + bytes(range(1, 25)), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=10)
+        return len(zstandard.ZstdCompressor(dict_data=d, level=10, write_content_size=False, write_checksum=False, write_dict_id=False).compress(w + bytes(range(1, 25))))
+
+    for w in (b" grumblefoot ", b" snark ", b" quick ", b" other ", b" x "):
+        hit = length(plain[0], w) > length(b"".join(marked) + plain[0], w)
+        assert distance.saved(w) == (max(0, sorted(length(p, w) - length(m + p, w) for p, m in pairs)[1]) if hit else 0)
+    assert distance.saved(b" grumblefoot ") >= 6 and distance.saved(b" quick ") == 0
+    x = np.array([0, 0, *[distance.saved(f" {w} ".encode()) for w in ("grumblefoot", "quick", "snark", "grumblefoot")]])
+    top = sorted(x)[::-1]
+    assert distance.features("Grumblefoot quick\n snark  GRUMBLEFOOT") == [1.0, min(top[0], 9), min(top[1], 9), *[float(np.log1p((x >= n).sum())) for n in range(1, 7)], 10.0 * (x >= 3).mean(), 10.0 * (x >= 1).mean(), float(np.log(6))]
+    assert toxicity.windows("A\tb " + "x" * 100) == [b" a ", b" b ", b" " + b"x" * 47, b"x" * 48, b"x" * 5 + b" "]
+    texts = [[f" w{k}a ".encode(), b" grumblefoot ", f" v{k}b ".encode()] for k in range(200)]
+    assert b"grumble" in toxicity.toxic_dictionary(texts, b"nothing of it " * 20)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <header>Site</header><div class="cookie-notice">Accept</div><!-- x --><div class='ad'>Buy</div><article><h1>Head &amp; <i>line</i></h1><p>One&nbsp;two<br>three
  four<p>Five &lt;b&gt; &#233;&#x1F600; <span class="share">Share</span> six<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><form>Name <input></form><aside>More</aside>
