@@ -1,12 +1,15 @@
 """Personal data by weak supervision, in DataFrame functions alone.
 
 Four kinds (email, ip, card, phone) have a base: matches of a pattern that pass a test; base spans always stay. Looser
-patterns give further candidates: matches that failed the test, local phone numbers, social security numbers and long
-secrets. Five labelers vote on every candidate (1 personal, -1 not, 0 no vote): its form, a gazetteer of domains, prefixes
+patterns give further candidates: matches that failed the test (cards: that have 13 to 19 digits), local phone numbers,
+social security numbers and long secrets. Five labelers vote on every candidate (1 personal, -1 not, 0 no vote): its form, a gazetteer of domains, prefixes
 and ranges, cue words before it, its borders, and its variety of characters. Expectation maximisation estimates, from the
 counts of all vote patterns, how reliable each labeler is, and so a probability for each pattern. With these as weights a
 naive Bayes classifier is trained on features of the candidates (kind, length, cue, borders, layout), and candidates it
-takes for personal data become spans too.
+takes for personal data become spans too, where no base span is. A cue word is one labeler and one feature among others.
+
+Positions are running sums, and what overlaps is told by running extremes, both over chunks, so that time hardly grows
+faster than the length of a text however many candidates it has.
 
 There are at most 3**5 vote patterns and a fixed number of features, so what reaches the driver is bounded. Everything
 else stays in rows: one pass over the texts writes the candidates, and models are applied as expressions of literals.
@@ -31,38 +34,64 @@ FURTHER = ("number", "local_phone", "ssn", "secret")
 # scanned from each of their characters. Possessive repeats keep Java from recursing.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-_CARD = r"[0-9](?:[\x20-]?[0-9])++"
+# Whole runs of 13 to 19 digits: a run ends where no digit follows, so others hold no match.
+_CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
 _SSN = r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-_SECRET = r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,128}+|(?:sk|pk|ghp|gho|xoxb|AKIA)[_-]?[A-Za-z0-9]{16,128}+)(?![A-Za-z0-9])"
+_SECRET = r"(?<![A-Za-z0-9])(?:[A-Fa-f0-9]{32,}+|(?:sk|pk|ghp|gho|xoxb|AKIA)[_-]?[A-Za-z0-9]{16,}+)(?![A-Za-z0-9])"
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _TLDS = "com|org|net|edu|gov|io|co|info|biz|de|fr|es|it|uk|eu|us|ca|nl|ch|at|be|pl|se|no|dk|fi|pt|ru|jp|cn|in|br|au|example|invalid|test"
 _CUES = r"(?i)(?:e-?mail|mail|contact|write|phone|tel|call|fax|mobile|cell|ip|host|server|address|card|visa|mastercard|credit|account|iban|token|secret|password|passwd|api.?key|key|ssn|social)\W{0,12}$"
 _BEFORE = 32
+_NEVER = (1 << 31) - 1
 LABELERS = 5
 #: Rounds of expectation maximisation.
 ROUNDS = 25
 
 
+#: Elements of a chunk of a running sum.
+_CHUNK = 256
+
+
+def _running(values: Column, zero: Column, combine) -> Column:
+    """For each value what combine() makes of zero and all values before it; combine is associative, like a sum."""
+
+    def plain(part: Column) -> Column:
+        start = F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, start, lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def chunked(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda part: F.aggregate(part, zero, combine))
+        each = lambda before: F.flatten(F.transform(chunks, lambda part, i: F.transform(plain(part), lambda x: combine(F.get(before, i), x))))
+        return let(plain(totals), each)
+
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _CHUNK).cast("int")), lambda c: F.slice(v, c * _CHUNK + 1, F.lit(_CHUNK)))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(cut(v), chunked)).otherwise(F.array().cast("array<int>")))
+
+
 def _found(text: Column, pattern: str, kind: str, guard: Column, passes) -> Column:
-    """Candidates: kind, start, end, value and whether it passes; positions from the pieces between the matches."""
-    shape = "array<struct<kind:string,s:int,e:int,v:string,ok:boolean>>"
+    """Candidates: kind, start, end, value, whether it passes, and what stands around it, from the pieces between matches."""
+    shape = "array<struct<kind:string,s:int,e:int,v:string,ok:boolean,before:string,right:string>>"
+    none = F.array().cast(shape)
 
     def place(pieces: Column, values: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("found"))
+        steps = F.transform(values, lambda v, i: F.length(F.get(pieces, i)) + F.length(v))
+
+        def each(starts: Column) -> Column:
+            def one(v: Column, i: Column) -> Column:
+                s = F.get(starts, i) + F.length(F.get(pieces, i))
+                before = F.right(F.concat(F.coalesce(F.get(values, i - 1), F.lit("")), F.get(pieces, i)), F.lit(_BEFORE))
+                after = F.get(pieces, i + 1)
+                right = F.left(F.when(after != "", after).otherwise(F.coalesce(F.get(values, i + 1), F.lit(""))), F.lit(1))
+                return F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(v)).alias("e"), v.alias("v"), passes(v).alias("ok"), before.alias("before"), right.alias("right"))
 
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(F.get(pieces, i))
-            v = F.get(values, i)
-            e = s + F.length(v)
-            one = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), v.alias("v"), passes(v).alias("ok"))
-            return F.struct(e.alias("at"), F.concat(acc["found"], F.array(one)).alias("found"))
+            return F.transform(values, one)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), start, step, lambda acc: acc["found"])
+        return let(_running(steps, F.lit(0), lambda a, x: a + x), each)
 
-    both = lambda values: F.when(F.size(values) > 0, let(F.split(text, pattern, -1), lambda p: place(p, values))).otherwise(F.array().cast(shape))
-    return F.when(guard, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), both)).otherwise(F.array().cast(shape))
+    both = lambda values: F.when(F.size(values) > 0, let(F.split(text, pattern, -1), lambda p: place(p, values))).otherwise(none)
+    return F.when(guard, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), both)).otherwise(none)
 
 
 def _digits(v: Column) -> Column:
@@ -102,12 +131,10 @@ def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, 1).when(no, -1).otherwise(0).cast("int")
 
 
-def _judged(text: Column, c: Column) -> Column:
+def _judged(c: Column) -> Column:
     """A candidate with its votes and features."""
-    s, e, v, kind = c["s"], c["e"], c["v"], c["kind"]
-    before = F.substring(text, F.greatest(s - _BEFORE + 1, F.lit(1)), F.least(s, F.lit(_BEFORE)))
-    left = F.when(s > 0, F.substring(text, s, F.lit(1))).otherwise("")
-    right = F.substring(text, e + 1, F.lit(1))
+    s, e, v, kind, before, right = c["s"], c["e"], c["v"], c["kind"], c["before"], c["right"]
+    left = F.right(before, F.lit(1))
     cue = before.rlike(_CUES)
     base = kind.isin(*KINDS)
     open_left, open_right = left.rlike(r"^[A-Za-z0-9@_/]$"), right.rlike(r"^[A-Za-z0-9@_/]$")
@@ -198,7 +225,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """_spw_id, _spw_text (what tells a document), base and spans (arrays of kind, s, e) of every row of docs (doc_id, text)."""
     text = text_of()
     # Candidates are few: their text is cut out here, so that no text goes on.
-    judged = let(text, lambda t: F.transform(_candidates(t), lambda c: _judged(t, c)))
+    judged = let(text, lambda t: F.transform(_candidates(t), _judged))
     rows = materialise(docs.select(*_key(), F.when(text.rlike("[0-9@]"), judged).alias("found")).select("_spw_id", "_spw_text", "found"), "candidates")
     each = rows.select(F.explode("found").alias("c")).select("c.*")
     probability = fit_labelers(each.groupBy("votes").agg(F.count("*").alias("n")))
@@ -212,20 +239,23 @@ def find_spans(docs: DataFrame) -> DataFrame:
     table = [x for f, (y, n) in sorted(learned.items()) for x in (F.lit(f), F.lit(math.log((y + 1) / (yes + 2)) - math.log((n + 1) / (no + 2))))]
     weights = F.create_map(*table) if table else F.create_map(F.lit(""), F.lit(0.0))
     score = lambda c: F.aggregate(c["features"], F.lit(bias), lambda a, f: a + F.coalesce(F.element_at(weights, f), F.lit(0.0)))
-    cued = lambda c: F.array_contains(c["features"], "cue=true")
     found = F.coalesce(F.col("found"), F.array().cast(rows.schema["found"].dataType))
     bare = lambda a: F.transform(a, lambda c: F.struct(F.when(c["base"] | ~c["kind"].isin("card", "ip", "phone"), c["kind"]).otherwise("number").alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
     base = F.filter(found, lambda c: c["base"])
 
-    def beside(all_found: Column) -> Column:
-        """Further spans: taken for personal, announced by a cue word, and apart from base spans."""
-        kept = F.filter(all_found, lambda c: c["base"])
-        apart = lambda c: ~F.exists(kept, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-        return F.filter(all_found, lambda c: ~c["base"] & cued(c) & (score(c) > 0) & apart(c))
+    def beside(by_start: Column) -> Column:
+        """Further spans: taken for personal, and apart from base spans, of which none that begins before ends within, nor begins within."""
+        ends = _running(F.transform(by_start, lambda c: F.when(c["base"], c["e"]).otherwise(-1)), F.lit(-1), lambda a, x: F.greatest(a, x))
+        starts = F.reverse(_running(F.reverse(F.transform(by_start, lambda c: F.when(c["base"], c["s"]).otherwise(_NEVER))), F.lit(_NEVER), lambda a, x: F.least(a, x)))
+        apart = lambda x: F.filter(by_start, lambda c, i: ~c["base"] & (score(c) > 0) & (F.get(x["ends"], i) <= c["s"]) & (F.get(x["starts"], i) >= c["e"]))
+        return let(F.struct(ends.alias("ends"), starts.alias("starts")), apart)
 
+    by_start = F.array_sort(F.transform(found, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"), c["base"].alias("base"), c["features"].alias("features"))))
     rank = F.create_map(*[x for i, k in enumerate((*KINDS, *FURTHER)) for x in (F.lit(k), F.lit(i))])
-    ordered = lambda a: F.transform(F.array_sort(F.transform(a, lambda c: F.struct(F.element_at(rank, c["kind"]).alias("r"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind")))), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
-    return rows.select("_spw_id", "_spw_text", ordered(bare(base)).alias("base"), ordered(F.array_distinct(F.concat(bare(base), bare(let(found, beside))))).alias("spans"))
+    ranked = lambda a: F.array_sort(F.transform(a, lambda c: F.struct(F.element_at(rank, c["kind"]).alias("r"), c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
+    once = lambda a: let(a, lambda x: F.filter(x, lambda c, i: (i == 0) | (c != F.get(x, i - 1))))
+    ordered = lambda a: F.transform(once(ranked(a)), lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
+    return rows.select("_spw_id", "_spw_text", ordered(bare(base)).alias("base"), ordered(F.concat(bare(base), bare(let(by_start, beside)))).alias("spans"))
 
 
 def listed(spans: Column) -> Column:
