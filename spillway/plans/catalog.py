@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spillway.functions.generate import lcg
+from spillway.functions.generate import generate_records, generate_u32
 from spillway.functions.text import memory_text, record_text, value_text
 from spillway.operators.merge import merge
 from spillway.operators.order import sort_blocks, with_position, with_rank
-from spillway.operators.runs import manifest, split
+from spillway.operators.runs import manifest, split, write_runs
 from spillway.operators.verify import check, fingerprint, first_violations
 from spillway.plans.params import MergeParams
 from spillway.plans.spec import Key, Ordering
@@ -83,10 +84,20 @@ _add(
     "SELECT run_id, printf('orders.split.%03d', run_id) AS fname, count(*) AS elems, min(o_totalprice) AS vmin, max(o_totalprice) AS vmax FROM (SELECT o_orderkey // 1024 + 1 AS run_id, o_totalprice FROM orders) GROUP BY run_id",
     lambda spark, d: manifest(_runs(spark, d), "orders", "o_totalprice"),
 )
+
+
+def _sorted_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks of like o_orderkey mod 8, each with the positions that sorting within partitions gave its records."""
+    orders = _table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.pmod("o_orderkey", F.lit(8)).alias("block"))
+    ordered = sort_blocks(orders.repartition("block"), Ordering.of("block", "o_totalprice", "o_orderkey")).withColumn("_at", F.monotonically_increasing_id())
+    within = Window.partitionBy("block").orderBy("_at")
+    return ordered.select("o_orderkey", "o_totalprice", "block", F.row_number().over(within).cast("bigint").alias("pos_in_block"))
+
+
 _add(
     "sort_blocks",
-    "SELECT count(*) AS elems, min(o_totalprice) AS vmin, max(o_totalprice) AS vmax FROM orders",
-    lambda spark, d: sort_blocks(_table(spark, d, "orders"), Ordering.of("o_totalprice")).agg(F.count("*").alias("elems"), F.min("o_totalprice").alias("vmin"), F.max("o_totalprice").alias("vmax")),
+    "SELECT o_orderkey, o_totalprice, o_orderkey % 8 AS block, CAST(row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_totalprice NULLS LAST, o_orderkey) AS BIGINT) AS pos_in_block FROM orders",
+    _sorted_blocks,
 )
 
 
@@ -135,12 +146,12 @@ _add("check_permutation", "SELECT count(*) AS elems, TRUE AS same_rows FROM orde
 _add(
     "generate_u32",
     "SELECT range AS pos, (range * 1103515245 + 12345) % 4294967296 AS value FROM range(65536)",
-    lambda spark, d: spark.range(65536).select(F.col("id").alias("pos"), lcg(F.col("id")).alias("value")),
+    lambda spark, d: generate_u32(spark, 65536),
 )
 _add(
     "generate_record",
     "SELECT (range * 1103515245 + 12345) % 4294967296 AS id, printf('Name %03d', range) AS name, printf('Text %03d', range) AS text FROM range(1, 1501)",
-    lambda spark, d: spark.range(1, 1501).select(lcg(F.col("id")).alias("id"), F.format_string("Name %03d", F.col("id")).alias("name"), F.format_string("Text %03d", F.col("id")).alias("text")),
+    lambda spark, d: generate_records(spark, 1500).select("id", "name", "text"),
 )
 _add(
     "value2str",
@@ -164,15 +175,20 @@ def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from spillway.plans.spec import U32
     from spillway.sources.binary import read_records, write_records
 
-    shared = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}"
-    base = tempfile.mkdtemp(prefix="spillway-", dir=None if not shared.startswith("file:") else os.path.realpath(shared.removeprefix("file://")) if os.path.isdir(shared.removeprefix("file://")) else None)
+    shared = spark.conf.get("spark.checkpoint.dir", "")
+    if not shared and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = f"{(shared or tempfile.mkdtemp(prefix='spillway-')).rstrip('/')}/roundtrip-{uuid.uuid4().hex}"
+    files = base.removeprefix("file://") if base.startswith("file:///") else base
+    os.makedirs(files, exist_ok=True) if "://" not in files else None
     orders = _table(spark, d, "orders")
-    write_records(orders.select(F.col("o_custkey").alias("value")), f"{base}/in", U32)
-    runs = split(read_records(spark, f"{base}/in", U32), "pos", 4096, Ordering.of("value", ties=("pos",)))
-    last = runs.agg(F.max("run_id")).first()[0] or 0
-    merged = merge([runs.where(F.col("run_id") == r).select("value") for r in range(1, last + 1)] or [runs.select("value")], Ordering.of("value"))
-    write_records(merged, f"{base}/out", U32)
-    return read_records(spark, f"{base}/out", U32)
+    write_records(orders.select(F.col("o_custkey").alias("value")), f"{files}/in", U32)
+    runs = split(read_records(spark, f"{files}/in", U32), "pos", 4096, Ordering.of("value", ties=("pos",)))
+    write_runs(runs.select("value", "run_id", "pos_in_run"), f"{base}/runs")
+    # All runs are read at once: a plan for each would grow with their number.
+    merged = merge([spark.read.schema("value bigint, pos_in_run bigint, run_id bigint").parquet(f"{base}/runs").select("value")], Ordering.of("value"))
+    write_records(merged, f"{files}/out", U32)
+    return read_records(spark, f"{files}/out", U32)
 
 
 _add("roundtrip_binary", "SELECT CAST(row_number() OVER (ORDER BY o_custkey) - 1 AS BIGINT) AS pos, o_custkey AS value FROM orders", _roundtrip)

@@ -137,17 +137,22 @@ class _Writer(DataSourceArrowWriter):
         exists = where.get_file_info(path).type != fs.FileType.NotFound
         if exists and not self.overwrite:
             raise FileExistsError(self.path)
-        if exists:
-            (where.delete_dir if where.get_file_info(path).type == fs.FileType.Directory else where.delete_file)(path)
+        # The result is complete beside the target before anything is replaced; what was there goes last.
+        fresh, old = f"{staging}-new", f"{staging}-old"
         if self.single:
-            with where.open_output_stream(path) as out:
+            with where.open_output_stream(fresh) as out:
                 for m in done:
                     with where.open_input_stream(m.path) as f:
                         shutil.copyfileobj(f, out, 1 << 22)
         else:
-            where.create_dir(path, recursive=True)
+            where.create_dir(fresh, recursive=True)
             for k, m in enumerate(done):
-                where.move(m.path, f"{path}/part-{k:05d}")
+                where.move(m.path, f"{fresh}/part-{k:05d}")
+        if exists:
+            where.move(path, old)
+        where.move(fresh, path)
+        if exists:
+            (where.delete_dir if where.get_file_info(old).type == fs.FileType.Directory else where.delete_file)(old)
         self.abort(messages)
 
     def abort(self, messages: list[_Written | None]) -> None:
