@@ -33,6 +33,7 @@ BROADCAST_ROWS = 200_000
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: By application and input: tables that the stage before wrote on its way.
 _HELD: dict[tuple[str, str], list] = {}
 
@@ -42,10 +43,12 @@ def _stage(f: Stage) -> Stage:
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, sf_dir)
         delete(_HELD.pop(key, []))
+        names = docs.columns
+        apart = [c if c in _COLUMNS else f"_extra_{k}" for k, c in enumerate(names)]  # from the operators' own columns
         with noted() as tables:
-            out = f(spark, docs, sf_dir)
+            out = f(spark, docs.toDF(*apart), sf_dir)
         _HELD[key] = tables
-        return out
+        return out.toDF(*names) if out.columns == apart else out
 
     return run
 
