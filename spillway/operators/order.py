@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from spillway.plans.spec import Ordering
 
 
-def sort(df: DataFrame, ordering: Ordering) -> DataFrame:
-    """All rows in order. Multiset-preserving; rows of equal keys come by the tie-breakers, or in any order."""
+def sort(df: DataFrame, ordering: Ordering, strict_empty: bool = False) -> DataFrame:
+    """All rows in order. Multiset-preserving; rows of equal keys come by the tie-breakers, or in any order.
+
+    Nothing in, nothing out; with strict_empty that raises, at the price of a look at the input.
+    """
     ordering.check(df)
+    if strict_empty and df.isEmpty():
+        raise ValueError("nothing to sort")
     return df.orderBy(*ordering.sort())
 
 

@@ -11,11 +11,11 @@ from spillway.plans.spec import Ordering
 STRETCH = 1 << 20
 
 
-def _stretches(df: DataFrame, ordering: Ordering, position: str) -> tuple[DataFrame, DataFrame]:
+def _stretches(df: DataFrame, ordering: Ordering, position: str, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows with their predecessor in their stretch, and a row per stretch with its ends."""
     rows = df.withColumn("_sw_stretch", F.floor(F.col(position) / STRETCH))
     within = Window.partitionBy("_sw_stretch").orderBy(position)
-    columns = [k.column for k in ordering.keys]
+    columns = [*(k.column for k in ordering.keys), *more]
     rows = rows.select("_sw_stretch", position, *columns, F.lag(F.struct(*columns)).over(within).alias("_sw_prev"), (F.row_number().over(within) - 1).cast("bigint").alias("_sw_i"))
     ends = rows.groupBy("_sw_stretch").agg(F.count("*").alias("n"), F.min_by(F.struct(*columns), position).alias("first"), F.max_by(F.struct(*columns), position).alias("last"))
     # A row per stretch: one window over all of them is small.
@@ -25,10 +25,10 @@ def _stretches(df: DataFrame, ordering: Ordering, position: str) -> tuple[DataFr
     return rows, ends
 
 
-def _violations(df: DataFrame, ordering: Ordering, position: str) -> DataFrame:
+def _violations(df: DataFrame, ordering: Ordering, position: str, more: tuple[str, ...] = ()) -> DataFrame:
     """Every row, with idx (from 0), prev, cur and whether it comes before its predecessor."""
-    rows, ends = _stretches(df, ordering, position)
-    columns = [k.column for k in ordering.keys]
+    rows, ends = _stretches(df, ordering, position, more)
+    columns = [*(k.column for k in ordering.keys), *more]
     ends = ends.withColumnRenamed("_sw_stretch", "_sw_s")
     both = rows.join(ends, F.col("_sw_stretch") == F.col("_sw_s"))
     prev = F.coalesce("_sw_prev", F.when(F.col("_sw_i") == 0, F.col("carried")))
@@ -58,8 +58,11 @@ def check(df: DataFrame, ordering: Ordering, position: str) -> DataFrame:
     )
 
 
-def first_violations(df: DataFrame, ordering: Ordering, position: str, n: int = 10) -> DataFrame:
-    """The first n rows out of order: idx (from 0, of the later row), prev and cur."""
+def first_violations(df: DataFrame, ordering: Ordering, position: str, n: int = 10, shown: Column | None = None) -> DataFrame:
+    """The first n rows out of order: idx (from 0, of the later row), prev and cur: the keys, or `shown` of their rows."""
+    if shown is not None:
+        rows = _violations(df.withColumn("_sw_shown", shown), ordering, position, ("_sw_shown",)).where("bad")
+        return rows.orderBy("idx").limit(n).select("idx", F.col("prev._sw_shown").alias("prev"), F.col("cur._sw_shown").alias("cur"))
     rows = _violations(df, ordering, position).where("bad")
     part = lambda c: F.col(f"{c}.{ordering.keys[0].column}") if len(ordering.keys) == 1 else F.col(c)
     return rows.orderBy("idx").limit(n).select("idx", part("prev").alias("prev"), part("cur").alias("cur"))

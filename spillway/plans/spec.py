@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spillway.functions.generate import field_values, generate_records, generate_u32
+from spillway.functions.text import fields_text, record_text
+
 #: Kind on disk (little-endian), numpy's name, Spark's type.
 CODECS = {
     "int8": ("<i1", T.ByteType()),
@@ -52,10 +56,31 @@ class Field:
 
 @dataclass(frozen=True)
 class RecordSpec:
-    """Fields one after the other, unless they have offsets; size covers padding."""
+    """Fields one after the other, unless they have offsets; size covers padding.
+
+    A spec also tells how its records are ordered (by the first field), generated (generator(spark, n, seed) gives pos and
+    the fields) and shown (formatter(column) gives text, with column(name) as a field's value), unless these are left out.
+    """
 
     fields: tuple[Field, ...]
     size: int | None = None
+    ordering: Ordering | None = field(default=None, compare=False)
+    generator: Callable[[SparkSession, int, int], DataFrame] | None = field(default=None, compare=False)
+    formatter: Callable[[Callable[[str], Column]], Column] | None = field(default=None, compare=False)
+
+    def order(self) -> Ordering:
+        return self.ordering or Ordering.of(self.fields[0].name)
+
+    def generate(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+        """pos (from 0) and the fields of n records."""
+        if self.generator:
+            return self.generator(spark, n, seed)
+        values = [field_values(f.name, f.kind, f.dtype.itemsize, f.length, f.spark, F.col("id"), seed).alias(f.name) for f in self.fields]
+        return spark.range(n).select(F.col("id").alias("pos"), *values)
+
+    def shown(self, column: Callable[[str], Column] = F.col) -> Column:
+        """A record as text."""
+        return self.formatter(column) if self.formatter else fields_text([f.name for f in self.fields], column)
 
     @property
     def dtype(self) -> np.dtype:
@@ -88,10 +113,6 @@ class RecordSpec:
         return ",".join(f"{f.name}:{f.kind}" for f in self.fields)
 
 
-U32 = RecordSpec.parse("value:uint32")
-NAMED = RecordSpec.parse("id:uint32,name:char[32],text:char[64]")
-
-
 @dataclass(frozen=True)
 class Key:
     """A column to order by; nulls come last unless told otherwise."""
@@ -154,6 +175,15 @@ class Ordering:
         return reduce(lambda p, q: p | q, terms)
 
 
+U32 = RecordSpec((Field("value", "uint32"),), ordering=Ordering.of("value"), generator=generate_u32)
+NAMED = RecordSpec(
+    (Field("id", "uint32"), Field("name", "char[32]"), Field("text", "char[64]")),
+    ordering=Ordering.of("id"),
+    generator=generate_records,
+    formatter=lambda column: record_text(column("id"), column("name"), column("text")),
+)
+
+
 def orderable(kind: T.DataType) -> bool:
     if isinstance(kind, T.StructType):
         return all(orderable(f.dataType) for f in kind.fields)
