@@ -3,9 +3,10 @@
 Vectors are integers: floor(scale * x) of each component, held as doubles, which are exact for them. Candidates are sorted
 by descending length and dealt into blocks. A first bound for each query comes from the longest vectors of all (a fixed
 number); a candidate shorter than bound / |q| cannot reach it. Queries are dealt into blocks by that length, so a block of
-queries needs the candidate blocks down to one number only, and no others are joined: an equi-join on the number of the
-candidate block, in which a candidate block travels once. Rounds go from longer to shorter blocks, each over more blocks
-than the last, and what a round finds raises the bounds for the next.
+queries needs the candidate blocks down to one number only, and no others are multiplied. Vectors are not shuffled for it:
+blocks of queries of SENT bytes in all go to the tasks at once, which read the candidate blocks as they lie; their finds are
+stored before the next queries go out, so the driver holds those bytes and no more, however large the tables. Rounds go from
+longer to shorter blocks, each over more blocks than the last, and what a round finds raises the bounds for the next.
 
 In a pair of blocks, candidates are taken in order of descending length: once |q| * |c| is under a query's bound, no later
 one can enter; before that, the first components after a rotation (the eigenvectors of the corpus' second moments, which
@@ -23,6 +24,7 @@ often as it occurs, while a repeated query counts once (its smallest vector); ti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,11 @@ from ._util import materialise
 
 #: Vectors of a block of candidates, and of a block of queries.
 CANDIDATE_BLOCK, QUERY_BLOCK = 4096, 4096
+#: Ranges of length that candidates are dealt into, at most: Spark samples each in the driver. Beyond that a range has several
+#: blocks, which share its number.
+RANGES = 512
+#: Bytes of query vectors that are sent to the tasks at once.
+SENT = 16 << 20
 #: The longest vectors, from which each query gets its first bound.
 LONGEST = 2048
 #: Candidates that share one look at the bounds.
@@ -88,10 +95,9 @@ def _rotation(vectors: DataFrame, d: int) -> np.ndarray:
         at = np.arange(d * d, dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "v"])
 
-    rows = vectors.select("q").mapInArrow(partial, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+    entries = vectors.select("q").mapInArrow(partial, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     m = np.zeros(d * d)
-    for r in rows:
-        m[r["at"]] = r["v"]
+    m[entries["at"].to_numpy()] = entries["v"].to_numpy()
     return np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy()
 
 
@@ -115,46 +121,59 @@ def _best(qi: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[
     return qi[keep], ids[keep], scores[keep]
 
 
-def search_blocks(q_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, c_ids: np.ndarray, c: np.ndarray, rotation: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id and score of what reaches the bounds of the queries, k for each at most; c is in order of length."""
-    d = q.shape[1]
-    head = max(1, d // 4)
-    bound = bound.copy()
-    qr, cr = q @ rotation, c @ rotation
-    q_len, c_len = _lengths(qr), _lengths(cr)
-    q_rest, c_rest = _lengths(qr[:, head:]), _lengths(cr[:, head:])
-    slack = 1e-6 * (1 + q_len)
-    plain = float(q_len.max(initial=0.0)) * float(c_len.max(initial=0.0)) < 2.0**52
-    bq, bi, bs = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for start in range(0, len(c), STEP):
-        part = slice(start, start + STEP)
-        longest = c_len[part].max()
-        reach = np.maximum(q_len * longest + slack * (1 + longest), -_LONG)
-        live = np.flatnonzero(reach >= bound)
-        if not len(live):
-            if start and c_len[start:].max() <= longest:
-                break
-            continue
-        upper = qr[live][:, :head] @ cr[part, :head].T + q_rest[live][:, None] * c_rest[part][None, :]
-        upper = np.maximum(upper + slack[live][:, None] * (1 + longest), -_LONG)
-        a, b = np.nonzero((upper >= bound[live][:, None]) & (q_ids[live][:, None] != c_ids[part][None, :]))
-        if not len(a):
-            continue
-        if plain and 16 * len(a) > upper.size:  # many pairs: all products at once
-            scores = (q[live] @ c[part].T)[a, b].astype(np.int64)
+class QueryBlock:
+    """Queries, their bounds and the best found for them so far."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, bound: np.ndarray, rotation: np.ndarray, k: int):
+        self.ids, self.q, self.bound, self.rotation, self.k = ids, q, bound.copy(), rotation, k
+        self.head = max(1, q.shape[1] // 4)
+        self.rotated = q @ rotation
+        self.length, self.rest = _lengths(self.rotated), _lengths(self.rotated[:, self.head :])
+        self.best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def search(self, c_ids: np.ndarray, c: np.ndarray) -> None:
+        """Takes in what reaches the bounds, k for each query at most; c is in order of length."""
+        k, head, q, bound = self.k, self.head, self.q, self.bound
+        cr = c @ self.rotation
+        c_len, c_rest = _lengths(cr), _lengths(cr[:, head:])
+        slack = 1e-6 * (1 + self.length)
+        most = float(self.length.max(initial=0.0)) * float(c_len.max(initial=0.0))
+        plain, many = most < 2.0**52, False
+        # Sums of integers under 2**24 are exact in single precision too.
+        kind = np.float32 if most < 2.0**23 else np.float64
+        for start in range(0, len(c), STEP):
+            part = slice(start, start + STEP)
+            longest = c_len[part].max()
+            reach = np.maximum(self.length * longest + slack * (1 + longest), -_LONG)
+            live = np.flatnonzero(reach >= bound)
+            if not len(live):
+                if start and c_len[start:].max() <= longest:
+                    break
+                continue
+            if not many:
+                upper = self.rotated[live][:, :head] @ cr[part, :head].T + self.rest[live][:, None] * c_rest[part][None, :]
+                upper = np.maximum(upper + slack[live][:, None] * (1 + longest), -_LONG)
+                close = upper >= bound[live][:, None]
+                many = plain and 16 * np.count_nonzero(close) > close.size
+            if many:  # all products at once, and in the rest of the block too
+                scores = q[live].astype(kind) @ c[part].T.astype(kind)
+                a, b = np.nonzero(scores >= bound[live].astype(kind)[:, None])
+                scores = scores[a, b].astype(np.int64)
+            else:
+                a, b = np.nonzero(close)
+                scores = np.empty(len(a), dtype=np.int64)
+                for s in range(0, len(a), 1 << 16):
+                    scores[s : s + (1 << 16)] = exact_scores(q[live[a[s : s + (1 << 16)]]], c[start + b[s : s + (1 << 16)]], plain)
             a, b = live[a], b + start
-        else:
-            a, b = live[a], b + start
-            scores = np.empty(len(a), dtype=np.int64)
-            for s in range(0, len(a), 1 << 16):
-                scores[s : s + (1 << 16)] = exact_scores(q[a[s : s + (1 << 16)]], c[b[s : s + (1 << 16)]], plain)
-        reached = scores >= bound[a]
-        a, b, scores = a[reached], b[reached], scores[reached]
-        bq, bi, bs = _best(np.concatenate((bq, a)), np.concatenate((bi, c_ids[b])), np.concatenate((bs, scores)), k)
-        full = np.flatnonzero(np.bincount(bq, minlength=len(q)) == k)
-        last = np.searchsorted(bq, full, "right") - 1
-        bound[full] = np.maximum(bound[full], bs[last])
-    return q_ids[bq], bi, bs
+            reached = (scores >= bound[a]) & (self.ids[a] != c_ids[b])
+            a, b, scores = a[reached], b[reached], scores[reached]
+            if not len(a):
+                continue
+            bq, bi, bs = (np.concatenate(x) for x in zip(self.best, (a, c_ids[b], scores), strict=True))
+            self.best = bq, _, bs = _best(bq, bi, bs, k)
+            full = np.flatnonzero(np.bincount(bq, minlength=len(q)) == k)
+            last = np.searchsorted(bq, full, "right") - 1
+            bound[full] = np.maximum(bound[full], bs[last])
 
 
 class Search:
@@ -164,7 +183,8 @@ class Search:
         vectors = vectors.select("*", F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x).alias("n2"))
         facts = vectors.agg(F.max(F.size("q")).alias("d"), F.count("*").alias("n"), F.count_distinct(F.when(is_query, F.col("vec_id"))).alias("m")).first()
         self.k, self.d = k, max(1, facts["d"] or 0)
-        self.n_candidates, self.n_queries = -(-facts["n"] // CANDIDATE_BLOCK), -(-facts["m"] // QUERY_BLOCK)
+        self.query_block = max(1, min(QUERY_BLOCK, SENT // (16 * self.d)))  # twice over, still sent at once
+        self.n_candidates, self.n_queries = min(RANGES, -(-facts["n"] // CANDIDATE_BLOCK)), min(RANGES, -(-facts["m"] // self.query_block))
         if not facts["m"]:
             return
         d = self.d
@@ -226,8 +246,9 @@ class Search:
         self.queries = materialise(joined.select("vec_id", "q", F.greatest("bound", lowered).alias("bound")), "queries")
 
     def query_blocks(self) -> DataFrame:
-        """Packed queries of like reach: ids, vectors, bounds, and upto, the last candidate block that any of them needs."""
-        d, classes, last_blocks = self.d, self.classes, self.last_blocks
+        """Packed queries of like reach: ids, vectors, bounds, and upto, the last candidate block that any of them needs; a
+        block is named by its first query."""
+        d, classes, last_blocks, most = self.d, self.classes, self.last_blocks, self.query_block
 
         def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
@@ -238,12 +259,14 @@ class Search:
                 # One class of length less than needed: logarithms may be rounded.
                 at = int(np.searchsorted(classes, int(_class(need).min()) - 1))
                 upto = int(last_blocks[at]) if at < len(classes) else -1
-                return pa.RecordBatch.from_arrays([pa.array([upto], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, bound))], ["upto", "q_ids", "q_vectors", "q_bounds"])
-
-            for batch in batches:
-                held.append((batch.column(0).to_numpy(), _matrix(batch.column(1), d), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)))
-                if sum(len(x[0]) for x in held) >= 2 * QUERY_BLOCK:
-                    yield packed()
+                return pa.RecordBatch.from_arrays([pa.array([ids[0]]), pa.array([upto], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids, m, bound))], ["block", "upto", "q_ids", "q_vectors", "q_bounds"])
+
+            for whole in batches:
+                for start in range(0, whole.num_rows, most):
+                    batch = whole.slice(start, most)
+                    held.append((batch.column(0).to_numpy(), _matrix(batch.column(1), d), batch.column(2).to_numpy(zero_copy_only=False), batch.column(3).to_numpy(zero_copy_only=False)))
+                    if sum(len(x[0]) for x in held) >= most:
+                        yield packed()
             if held and sum(len(x[0]) for x in held):
                 yield packed()
 
@@ -251,39 +274,63 @@ class Search:
         length = F.sqrt(F.aggregate("q", F.lit(0.0), lambda s, x: s + x * x))
         need = F.when((F.col("bound") > 0) & (length > 0), F.col("bound") / length * (1 - 1e-6)).otherwise(0.0)
         queries = self.queries.withColumn("need", need).repartitionByRange(self.n_queries, "need", "vec_id")
-        return queries.select("vec_id", "q", "bound", "need").mapInArrow(blocks, "upto int, q_ids binary, q_vectors binary, q_bounds binary")
+        return queries.select("vec_id", "q", "bound", "need").mapInArrow(blocks, "block bigint, upto int, q_ids binary, q_vectors binary, q_bounds binary")
 
     def block_pairs(self, lo: int, hi: int) -> DataFrame:
-        """A row for each block of queries and each candidate block from lo to hi - 1 that it needs."""
+        """A row for each block of queries and each number of candidate blocks from lo to hi - 1 that found() takes to it."""
         needed = self.query_blocks().where(F.col("upto") >= lo)
-        return needed.select("q_ids", "q_vectors", "q_bounds", F.explode(F.sequence(F.lit(lo), F.least("upto", F.lit(hi - 1)))).alias("cb"))
-
-    def found(self, lo: int, hi: int) -> DataFrame:
-        d, k, rotation = self.d, self.k, self.rotation
+        return needed.select("block", F.explode(F.sequence(F.lit(lo), F.least("upto", F.lit(hi - 1)))).alias("cb"))
+
+    def found(self, lo: int, hi: int) -> list[DataFrame]:
+        """Stored finds (query_id, vec_id, score) in candidate blocks from lo to hi - 1, a table for each SENT bytes of queries."""
+        blocks = materialise(self.query_blocks().where(F.col("upto") >= lo), "query-blocks")
+        sizes = blocks.select("block", "upto", (F.length("q_ids") * self.d).alias("bytes")).toArrow().to_pylist()
+        sent, total = [], SENT + 1
+        for r in sorted(sizes, key=lambda r: (-r["upto"], r["block"])):
+            if (total := total + r["bytes"]) > SENT:
+                sent.append([])
+                total = r["bytes"]
+            sent[-1].append(r)
+        return [self._found_for(blocks.where(F.col("block").isin([r["block"] for r in part])), lo, min(hi - 1, part[0]["upto"])) for part in sent]
+
+    def _found_for(self, blocks: DataFrame, lo: int, last: int) -> DataFrame:
+        d, k, rotation, queries = self.d, self.k, self.rotation, blocks.toArrow().to_pylist()
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = []
             for batch in batches:
                 for row in range(batch.num_rows):
-                    q_ids, q, bound, c_ids, c = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in enumerate((np.int64, float, float, np.int64, float)))
-                    told = search_blocks(q_ids, q.reshape(-1, d), bound, c_ids, c.reshape(-1, d), rotation, k)
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, told)), ["query_id", "vec_id", "score"])
-
-        candidates = self.candidates.where(F.col("cb").between(lo, hi - 1)).select("cb", "c_ids", "c_vectors")
-        pairs = self.block_pairs(lo, hi).join(candidates, "cb").select("q_ids", "q_vectors", "q_bounds", "c_ids", "c_vectors")
-        return pairs.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+                    cb = batch.column(0)[row].as_py()
+                    c_ids, c = (np.frombuffer(batch.column(i)[row].as_buffer(), t) for i, t in ((1, np.int64), (2, float)))
+                    if not held:
+                        unpacked = [[np.frombuffer(r[x], t) for x, t in (("q_ids", np.int64), ("q_vectors", float), ("q_bounds", float))] for r in queries]
+                        held = [(r["upto"], QueryBlock(ids, q.reshape(-1, d), bound, rotation, k)) for r, (ids, q, bound) in zip(queries, unpacked, strict=True)]
+                    for upto, own in held:
+                        if upto >= cb:
+                            own.search(c_ids, c.reshape(-1, d))
+            for _, own in held:
+                q, ids, scores = own.best
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, (own.ids[q], ids, scores))), ["query_id", "vec_id", "score"])
+
+        candidates = self.candidates.where(F.col("cb").between(lo, last)).select("cb", "c_ids", "c_vectors")
+        return materialise(candidates.mapInArrow(search, "query_id bigint, vec_id bigint, score bigint"), "found")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of each query; `vectors` as integer_vectors() gives them."""
     search = Search(vectors, is_query, k)
+    best = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     if not search.n_queries:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+        return best
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best, lo, hi = None, 0, FIRST_ROUND
+    lo, hi = 0, FIRST_ROUND
     while True:
         found = search.found(lo, min(hi, search.n_candidates))
-        both = found if best is None else found.union(best.select("query_id", "vec_id", "score"))
-        best = both.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if not found:  # bounds only rise: no later block is needed either
+            return best
+        if lo:
+            found.append(best.select("query_id", "vec_id", "score"))
+        best = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
         if hi >= search.n_candidates:
             return best
         best = materialise(best, "best")

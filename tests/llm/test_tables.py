@@ -65,6 +65,28 @@ def test_blocks_that_no_query_can_use_are_not_joined(spark, monkeypatch):
     assert Counter(tuple(x) for x in topk.top_k(topk.integer_vectors(df), F.col("vec_id") % 50 == 0, 5).collect()) == plain_top(rows, 5)
 
 
+def test_queries_go_out_in_bounded_parts_and_no_join_is_broadcast(spark, monkeypatch):
+    for name, value in [("CANDIDATE_BLOCK", 16), ("RANGES", 4), ("FIRST_ROUND", 2), ("LONGEST", 8)]:
+        monkeypatch.setattr(topk, name, value, raising=False)
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(0, 2500, 5)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    whole = topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5)
+    assert Counter(tuple(x) for x in whole.collect()) == plain_top(rows, 5)
+    # Pairs of blocks are many times what Spark estimates: their broadcast ended the driver at 0.6 million vectors.
+    assert "Broadcast" not in whole._jdf.queryExecution().executedPlan().toString()
+    sent, found_for = [], topk.Search._found_for
+
+    def recorded(self, blocks, lo, last):
+        sent.append(sum(len(x["q_vectors"]) for x in blocks.collect()))
+        return found_for(self, blocks, lo, last)
+
+    monkeypatch.setattr(topk, "SENT", 640)
+    monkeypatch.setattr(topk.Search, "_found_for", recorded)
+    assert Counter(tuple(x) for x in topk.top_k(vectors, F.col("vec_id") % 50 == 0, 5).collect()) == plain_top(rows, 5)
+    assert max(sent) <= 640 and sum(sent) >= 50 * 4 * 8
+
+
 def test_few_or_no_vectors(spark):
     df = spark.createDataFrame([(50, [1.0]), (51, [2.0])], "vec_id bigint, embedding array<float>")
     search = lambda d: [tuple(x) for x in topk.top_k(topk.integer_vectors(d), F.col("vec_id") % 50 == 0, 5).collect()]
