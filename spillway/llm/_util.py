@@ -52,14 +52,34 @@ def noted() -> Iterator[list[tuple[SparkSession, str]]]:
         _NOTED.reset(token)
 
 
+#: Whether shuffle files go when the query that wrote them ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside the block go at its end, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: its lineage is cut, and lost executors lose nothing.
+    """Writes df to the shared folder and reads it back: its lineage is cut, and lost executors lose nothing. The shuffle
+    files of the writing are deleted at once.
 
     The table stays, as lazy results may read it, unless a caller that noted() it deletes it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spillway-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     tables = _NOTED.get()
     if tables is not None:
         tables.append((spark, path))

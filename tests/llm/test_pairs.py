@@ -1,6 +1,7 @@
 """The n-gram join and substring removal against all pairs."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -174,6 +175,26 @@ def test_a_copy_is_one_factor(spark):
     assert got == Counter({(7, 0, 60, 5, 0): 2})
 
 
+def test_shuffle_files_go_with_the_table_they_were_written_for(spark):
+    """Else what substring removal has shuffled for its five tables lies on disk until the driver collects its garbage."""
+    from pyspark.sql import functions as F
+
+    from spillway.llm._util import materialise
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {x for x in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in x}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = shuffled(), spark.conf.get(setting, None)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    stored = materialise(df, "counts")
+    for _ in range(20):  # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.5)
+    assert not shuffled() - before and spark.conf.get(setting, None) == was
+    assert Counter(tuple(r) for r in stored.collect()) == Counter(tuple(r) for r in df.collect())
+
+
 def test_kept_text_keeps_its_form(spark):
     passage = prose(8, 55)
     out = substring.remove_repeats(frame(spark, [(1, passage, None, None, 0), (2, f"Head\n\n{passage}\n\ttail  end", None, None, 0)])).orderBy("doc_id").collect()
